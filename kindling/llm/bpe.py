@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 from kindling.llm.common import pick
 
 #: A piece: blanks, then what isn't blank.
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+PIECE = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
 #: Blanks beside which pieces can't be told apart.
-ODD_BLANK = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-MEMO_ROWS, MEMO_CHARS = 400_000, 48
+ODD_BLANK = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Entries of the memo; beyond, the later half goes: frequent pieces come early.
+MEMO_ROWS, MEMO_BYTES = 1_000_000, 48
+#: New pieces that the library encodes as one text.
+JOINED = 500
 #: Texts are taken together up to so many characters.
 GROUP_CHARS = 1 << 18
 
@@ -48,37 +52,60 @@ class Codec:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
         letters = byte_letters()
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.bytes = [b""] * self.size
         for piece, i in vocab.items():
             self.bytes[i] = bytes(map(letters.__getitem__, piece)) if all(c in letters for c in piece) else piece.encode()
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        cuts = [[t] if ODD_BLANK.search(t) else PIECE.findall(t) for t in texts]
+        self.lengths = np.fromiter(map(len, self.bytes), np.int64, self.size)
+
+    def _new(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces, from the library: those with blanks in front and none behind joined, the others each alone."""
+        plain = [p for p in pieces if p[0] in b" \n" and p[-1] not in b" \n"]
+        alone = [p for p in pieces if not (p[0] in b" \n" and p[-1] not in b" \n")]
+        joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        texts = [b"".join(x).decode() for x in joined] + [p.decode() for p in alone]
+        ids = [np.array(e.ids, self.kind) for e in self.model.encode_batch(texts, add_special_tokens=False)] if texts else []
+        out = {p: x.tobytes() for p, x in zip(alone, ids[len(joined) :])}
+        for own, x in zip(joined, ids):
+            ends, wanted = np.cumsum(self.lengths[x]), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            at = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[at], wanted):
+                raise ValueError("an id reaches over the end of a piece")
+            raw, at, first = x.tobytes(), ((at + 1) * x.itemsize).tolist(), 0
+            for p, end in zip(own, at):
+                out[p] = raw[first:end]
+                first = end
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        found, new = [], {}
+        for t in texts:
+            pieces = [t.encode()] if ODD_BLANK.search(t) else PIECE.findall(t.encode())
+            ids = list(map(self.memo.get, pieces))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            pieces = [pieces[i] for i in gaps]
+            new.update(dict.fromkeys(pieces))
+            found.append((ids, gaps, pieces))
+        new = self._new(list(new))
+        for ids, gaps, pieces in found:
+            for i, p in zip(gaps, pieces):
+                ids[i] = new[p]
+        self.memo.update((p, x) for p, x in new.items() if len(p) <= MEMO_BYTES)
         if len(self.memo) > MEMO_ROWS:
-            self.memo.clear()
-        new = list(set().union(*cuts).difference(self.memo))
-        memo = self.memo
-        fresh = dict(zip(new, self._raw(new))) if new else {}
-        memo.update((k, v) for k, v in fresh.items() if len(k) <= MEMO_CHARS)
-        if any(len(k) > MEMO_CHARS for k in fresh):
-            memo = {k: v for k, v in fresh.items() if len(k) > MEMO_CHARS}
-            return [b"".join([self.memo[p] if p in self.memo else memo[p] for p in c]) for c in cuts]
-        return [b"".join(map(memo.__getitem__, c)) for c in cuts]
-
-    def decode(self, ids) -> bytes:
+            self.memo = dict(islice(self.memo.items(), MEMO_ROWS // 2))
+        return [np.frombuffer(b"".join(ids), self.kind) for ids, _, _ in found]
+
+    def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte and character at which each id starts; within a split character, that character."""
-        lengths = np.fromiter((len(self.bytes[i]) for i in ids), np.int64, len(ids))
+        lengths = self.lengths[ids]
         starts = np.cumsum(lengths) - lengths
         lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
         return starts, np.cumsum(lead)[starts] - 1 if len(ids) else starts
@@ -103,10 +130,9 @@ def groups(texts: list[bytes | None]):
         yield first, held
 
 
-def _lists(blobs: list[bytes]) -> pa.ListArray:
-    flat = np.frombuffer(b"".join(blobs), "<i4")
-    ends = np.cumsum([0, *map(len, blobs)]) // 4
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype("<i4"), pa.int32()))
 
 
 def encode(docs: DataFrame, vocabulary: str, offsets: bool = False) -> DataFrame:
@@ -117,11 +143,11 @@ def encode(docs: DataFrame, vocabulary: str, offsets: bool = False) -> DataFrame
         for b in batches:
             texts, ids_of = b.column("text").to_pylist(), b.column("doc_id")
             for first, held in groups(texts):
-                blobs = own.encode(held)
-                out = [ids_of.slice(first, len(held)), _lists(blobs)]
+                found = own.encode(held)
+                out = [ids_of.slice(first, len(held)), _lists(found)]
                 if offsets:
-                    pairs = [own.offsets(t, np.frombuffer(x, "<i4")) for t, x in zip(held, blobs)]
-                    out += [_lists([p[k].astype("<i4").tobytes() for p in pairs]) for k in (0, 1)]
+                    pairs = [own.offsets(t, x) for t, x in zip(held, found)]
+                    out += [_lists([p[k] for p in pairs]) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["doc_id", "ids", *(["byte_starts", "char_starts"] if offsets else [])]
@@ -136,7 +162,7 @@ def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
         own = codec(vocabulary)
         for b in batches:
             ids = b.column("ids")
-            decoded = [own.decode(x.values.to_numpy()) if x.is_valid else None for x in ids]
+            decoded = [None if x is None else own.decode(x) for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())], [*b.schema.names, "decoded"])
 
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", decoded binary")

@@ -51,23 +51,23 @@ class Writer:
     def __init__(self, out, bits: int):
         self.out, self.bits, self.at = out, bits, 0
         self.offsets, self.lengths, self.names = [], [], []
-        self.rest, self.held = [], 0
+        self.rest, self.held = [np.empty(0, "<u4")], 0
 
     def _flush(self, last: bool = False) -> None:
-        ids = np.frombuffer(b"".join(self.rest), "<i4")
+        ids = np.concatenate(self.rest)
         whole = len(ids) if last else len(ids) // BLOCK * BLOCK
         for i in range(0, whole, BLOCK):
             data = pack(ids[i : min(i + BLOCK, whole)], self.bits)
             self.offsets.append(self.at)
             self.out.write(data)
             self.at += len(data)
-        self.rest, self.held = [ids[whole:].tobytes()], len(ids) - whole
+        self.rest, self.held = [ids[whole:]], len(ids) - whole
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, *ids: np.ndarray) -> None:
         self.names.append(doc_id)
-        self.lengths.append(len(ids) // 4)
-        self.rest.append(ids)
-        self.held += len(ids) // 4
+        self.lengths.append(sum(map(len, ids)))
+        self.rest += ids
+        self.held += self.lengths[-1]
         if self.held >= 64 * BLOCK:
             self._flush()
 
@@ -125,7 +125,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -
 
     def run(batches):
         own, part = codec(vocabulary), TaskContext.get().partitionId()
-        bits, last = (own.size - 1).bit_length(), np.array([end_id], "<i4").tobytes()
+        bits, last = (own.size - 1).bit_length(), np.array([end_id], own.kind)
         batches = iter(batches)
         one = next((b for b in batches if b.num_rows), None)
         if one is None:
@@ -136,7 +136,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -
                 names = one.column("doc_id").to_pylist()
                 for first, held in groups(one.column("text").to_pylist()):
                     for name, ids in zip(names[first:], own.encode(held)):
-                        to.add(name, ids + last)
+                        to.add(name, ids, last)
                 one = next(batches, None)
             n, ids = to.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [n], "n_tokens": [ids]})

@@ -31,9 +31,11 @@ PIECE = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
 #: Blanks beside which pieces can't be told apart.
 ODD_BLANK = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Entries of the memo; beyond, the later half goes: frequent pieces come early.
-MEMO_ROWS, MEMO_BYTES = 1_000_000, 48
+MEMO_ROWS, MEMO_BYTES = 800_000, 48
 #: New pieces that the library encodes as one text.
 JOINED = 500
+#: Rows that are decoded at once.
+DECODED_ROWS = 200
 #: Texts are taken together up to so many characters.
 GROUP_CHARS = 1 << 18
 
@@ -161,9 +163,12 @@ def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         own = codec(vocabulary)
         for b in batches:
-            ids = b.column("ids")
-            decoded = [None if x is None else own.decode(x) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())], [*b.schema.names, "decoded"])
+            for i in range(0, b.num_rows, DECODED_ROWS):
+                part = b.slice(i, DECODED_ROWS)
+                lists = part.column("ids")
+                flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *(n or 0 for n in lists.value_lengths().to_pylist())])
+                decoded = [own.decode(flat[a:z].tolist()) for a, z in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*b.schema.names, "decoded"])
 
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", decoded binary")
 

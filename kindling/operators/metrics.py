@@ -58,12 +58,12 @@ def ranked(df: DataFrame, score: str, y: str) -> DataFrame:
 def auc_and_ap(df: DataFrame, score: str, y: str) -> DataFrame:
     """One row: auc with ties averaged, and average precision; null if one class is absent."""
     r = ranked(df, score, y)
-    total = r.agg(F.sum("pos").alias("P"), F.sum("n").alias("N"))
-    neg, below = F.col("n") - F.col("pos"), (F.col("N") - F.col("P")) - (F.col("seen") - F.col("tp"))
+    total = r.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
+    neg, below = F.col("n") - F.col("pos"), (F.col("all_n") - F.col("all_pos")) - (F.col("seen") - F.col("tp"))
     one = r.join(F.broadcast(total)).agg(  # one row
-        F.sum(F.col("pos") * (below + neg / 2)).alias("u"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("s"), F.first("P").alias("P"), F.first("N").alias("N")
+        F.sum(F.col("pos") * (below + neg / 2)).alias("u"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("s"), F.first("all_pos").alias("all_pos"), F.first("all_n").alias("all_n")
     )
-    return one.select(F.try_divide(F.col("u"), F.col("P") * (F.col("N") - F.col("P"))).alias("auc"), F.try_divide(F.col("s"), F.col("P")).alias("ap"))
+    return one.select(F.try_divide(F.col("u"), F.col("P") * (F.col("all_n") - F.col("all_pos"))).alias("auc"), F.try_divide(F.col("s"), F.col("all_pos")).alias("ap"))
 
 
 def higher_quantile(values: Column, q: float) -> Column:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import bounded, cut, flat, pick
+from kindling.llm.common import BROADCAST_ROWS, bounded, cut, flat, pick
 
 FINGERPRINT_BITS = 48
 #: Rows whose fingerprints one owner holds, about.
@@ -106,7 +106,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     spark, texts = docs.sparkSession, _hashed(pick(docs, "doc_id", "text"))
     light = cut(texts.select("doc_id", "sha", "fp", F.monotonically_increasing_id().alias("row")))
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(light.count() / OWNER_ROWS))
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((n := light.count()) / OWNER_ROWS))
     doubtful = cut(suspects(light, owners))
     doubtful = bounded(doubtful, doubtful.count())
     # Byte verification: the text itself is a grouping key, summed before the shuffle.
@@ -120,8 +120,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         .drop("texts")
     )
     top = light.join(doubtful, "fp", "left_semi").groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "row")).alias("top"))
-    groups = same.join(top, ["fp", "sha"])
-    return light.join(groups, ["fp", "sha"], "left").select(
+    groups = cut(same.join(top, ["fp", "sha"]))
+    # Groups above this size are fewer than BROADCAST_ROWS by arithmetic, so they are broadcast and
+    # their rows are not shuffled; below it a key brings at most that many rows to a task.
+    large = max(1, n // BROADCAST_ROWS)
+    marked = light.join(F.broadcast(groups.where(F.col("group_size") > large)), ["fp", "sha"], "left")
+    if large > 1:
+        rest = marked.where("top is null").select("fp", "sha", "doc_id", "row").join(groups.where(F.col("group_size") <= large), ["fp", "sha"], "left")
+        marked = marked.where("top is not null").unionByName(rest)
+    return marked.select(
         "doc_id",
         F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -86,8 +86,7 @@ def _measured(df: DataFrame, text: Column, ratios: np.ndarray) -> DataFrame:
             "word_chars": F.aggregate("w_", F.lit(0).cast("long"), lambda a, b: a + F.length(b)),
             "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"),
-            # bound by let(): a filter above may otherwise put the split text into the lambdas
-            "n_repeat_words": let(F.col("w_"), repeated_words).cast("long"),
+            "n_repeat_words": repeated_words(F.col("w_")).cast("long"),
         }
     )
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
@@ -103,5 +102,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_
 def drop_poor(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
     """The rows of `docs` that quality_rules keeps, with all their columns."""
     frame, at = flat(docs)
-    kept = _measured(frame, at["text"], log_ratios(docs, labels, target_rows)).where("kept")
+    rows = _measured(frame, at["text"], log_ratios(docs, labels, target_rows))
+    # A filter pushed below the projections would split the text again for each window of it; one
+    # that uses a column which isn't deterministic stays above them.
+    kept = rows.withColumn("row_", F.monotonically_increasing_id()).where("kept and row_ >= 0")
     return kept.select(*frame.columns).toDF(*docs.columns)

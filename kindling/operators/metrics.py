@@ -52,7 +52,7 @@ def ranked(df: DataFrame, score: str, y: str) -> DataFrame:
     """
     levels = df.groupBy(score).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
     upto = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return levels.withColumns({"tp": F.sum("pos").over(upto), "seen": F.sum("n").over(upto)})
+    return levels.select(score, "pos", "n", F.sum("pos").over(upto).alias("tp"), F.sum("n").over(upto).alias("seen"))
 
 
 def auc_and_ap(df: DataFrame, score: str, y: str) -> DataFrame:
@@ -60,10 +60,11 @@ def auc_and_ap(df: DataFrame, score: str, y: str) -> DataFrame:
     r = ranked(df, score, y)
     total = r.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
     neg, below = F.col("n") - F.col("pos"), (F.col("all_n") - F.col("all_pos")) - (F.col("seen") - F.col("tp"))
+    total = total.toDF("all_pos", "all_n")
     one = r.join(F.broadcast(total)).agg(  # one row
         F.sum(F.col("pos") * (below + neg / 2)).alias("u"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("s"), F.first("all_pos").alias("all_pos"), F.first("all_n").alias("all_n")
     )
-    return one.select(F.try_divide(F.col("u"), F.col("P") * (F.col("all_n") - F.col("all_pos"))).alias("auc"), F.try_divide(F.col("s"), F.col("all_pos")).alias("ap"))
+    return one.select(F.try_divide(F.col("u"), F.col("all_pos") * (F.col("all_n") - F.col("all_pos"))).alias("auc"), F.try_divide(F.col("s"), F.col("all_pos")).alias("ap"))
 
 
 def higher_quantile(values: Column, q: float) -> Column:

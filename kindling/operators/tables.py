@@ -18,6 +18,14 @@ def dense_left(base: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return joined.na.fill(0, [c for c in facts.columns if c not in keys])
 
 
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """All of `left` with its row of `right`; a key that `right` repeats fails the query when it runs."""
+    values = [c for c in right.columns if c not in keys]
+    one = right.groupBy(*keys).agg(F.first(F.struct(*values)).alias("_row"), F.count("*").alias("_n"))
+    known = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.lit(f"{', '.join(keys)} is not unique")))
+    return left.join(one.select(*keys, known.alias("_row")), keys, "left").select(*left.columns, *(F.col("_row")[c].alias(c) for c in values))
+
+
 def unmatched(facts: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
     return facts.join(base.select(*keys).distinct(), keys, "left_anti")
 

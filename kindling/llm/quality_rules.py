@@ -32,21 +32,26 @@ TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
 def grams(text: Column) -> Column:
-    """The buckets of a text's tokens and of its adjacent pairs of tokens."""
+    """The hashes of a text's tokens and of its adjacent pairs of tokens."""
     hashed = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
     def both(h):
         pairs = F.zip_with(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-        return F.transform(F.concat(h, pairs), lambda x: x.bitwiseAND(BUCKETS - 1).cast("int"))
+        return F.concat(h, pairs)
 
     return let(hashed, both)
 
 
+def bucket(x: Column) -> Column:
+    return x.bitwiseAND(BUCKETS - 1).cast("int")
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> np.ndarray:
     """The log-ratio of each bucket, from counts over all of `docs`. BUCKETS numbers reach the driver."""
     good = labelled(labels, "quality", target_rows).where("y = 1").select("doc_id", F.lit(1).alias("good"))
     rows = pick(docs, "doc_id", "text").join(F.broadcast(good), "doc_id", "left")  # target_rows longs at most
-    counts = rows.select("good", F.explode(grams(F.col("text"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.count("good").alias("t"))
+    listed = rows.select("good", F.explode(grams(F.col("text"))).alias("gram"))
+    counts = listed.groupBy(bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("n"), F.count("good").alias("t"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():
         raw[r.bucket], target[r.bucket] = r.n, r.t
@@ -56,9 +61,26 @@ def log_ratios(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROW
     return np.log(share(target) / share(raw))
 
 
+def windows(w: Column, window: int) -> Column:
+    """A hash of each run of `window` words: hashes of shorter runs are joined until they span it."""
+
+    def joined(step):
+        def both(h):
+            n = F.greatest(F.size(h) - step, F.lit(0))
+            return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+
+        return both
+
+    hashed, width = F.transform(w, lambda x: F.xxhash64(x)), 1
+    while width < window:
+        step = min(width, window - width)
+        hashed, width = let(hashed, joined(step)), width + step
+    return hashed
+
+
 def repeated_words(w: Column, window: int = WINDOW) -> Column:
     """How many words stand in a window that the array `w` holds twice or more."""
-    hashed = F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(window))))
+    hashed = windows(w, window)
 
     def spread(s):  # sorted (hash, place): equal hashes stand side by side
         twin = lambda x, i, d: F.coalesce(x["h"] == F.get(s, i + d)["h"], F.lit(False))
@@ -78,12 +100,12 @@ def _measured(df: DataFrame, text: Column, ratios: np.ndarray) -> DataFrame:
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     table = F.from_json(F.lit("[" + ",".join(f"{x:.12g}" for x in ratios) + "]"), "array<double>")  # folded to a constant
-    score = let(grams(t), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.greatest(F.size(g), F.lit(1)))
+    score = let(grams(t), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, bucket(b))) / F.greatest(F.size(g), F.lit(1)))
     df = df.withColumns({"w_": words(t), "lines_": lines})
     df = df.withColumns(
         {
             "n_words": F.size("w_").cast("long"),
-            "word_chars": F.aggregate("w_", F.lit(0).cast("long"), lambda a, b: a + F.length(b)),
+            "word_chars": F.length(F.concat_ws("", "w_")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"),
             "n_repeat_words": repeated_words(F.col("w_")).cast("long"),

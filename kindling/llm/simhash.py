@@ -120,12 +120,29 @@ def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return rows.join(named.join(lowest, "root").select("fp", "component_id"), "fp", "left")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of each component, that with its smallest doc_id, with all columns.
+def one_of_each(docs: DataFrame, rooted) -> DataFrame:
+    """One row of each group, that with its smallest doc_id, with all columns.
 
-    Rows of one doc_id in a component stay together; a component without any id stays whole.
+    Rows are told apart by a number that is written with them, so null and repeated ids do no
+    harm: null comes last, and of rows with one id the smallest node and number stays.
+    `rooted` makes row, doc_id, node and root of a written table (row, doc_id, text).
     """
-    marks = near_dedup(docs, shingle)
-    gone = marks.where("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct()
     frame, at = flat(docs)
-    return frame.join(gone, at["doc_id"].eqNullSafe(F.col("gone")), "left_anti").toDF(*docs.columns)
+    frame = cut(frame.withColumn("row", F.monotonically_increasing_id()))
+    marks = cut(rooted(frame.select("row", at["doc_id"].cast("long").alias("doc_id"), at["text"].alias("text"))))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "row"))
+    groups = cut(marks.groupBy("root").agg(first["row"].alias("first"), F.count("*").alias("n")).where("n > 1"))
+    gone = cut(marks.join(groups, "root").where("row <> first").select("row"))
+    return frame.join(gone, "row", "left_anti").drop("row").toDF(*docs.columns)
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """One row of each component, as one_of_each says."""
+
+    def rooted(texts: DataFrame) -> DataFrame:
+        rows = cut(fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), shingle)).withColumnRenamed("doc_id", "row")
+        linked = components(links(cut(rows.select("fp").distinct())))
+        marks = rows.join(linked, F.col("fp") == F.col("node"), "left").select("row", F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"))
+        return marks.join(texts.select("row", "doc_id"), "row")
+
+    return one_of_each(docs, rooted)

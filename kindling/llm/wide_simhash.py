@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import cut, flat, pick
-from kindling.llm.simhash import SEED, components
+from kindling.llm.common import cut, pick
+from kindling.llm.simhash import SEED, components, one_of_each
 
 WIDTH, WORDS = 1024, 16
 #: Bits that may differ: 15.2 % at 0.8, and half a standard deviation.
@@ -64,14 +64,18 @@ def bits_of(text: bytes, size: int) -> np.ndarray:
     return (2 * ones > len(starts)).astype(np.uint8)
 
 
+def block_bits(rows: int) -> int:
+    return max(LEAST_BITS, math.ceil(math.log2(max(2, rows))) - 4)
+
+
 def fingerprints(docs: DataFrame, bits: int, shingle: int = 5) -> DataFrame:
-    """doc_id, node (a hash of the fingerprint), wide (16 longs) and keys, the blocks."""
+    """The columns of `docs` but text, node (a hash of the fingerprint), wide (16 longs) and keys, the blocks."""
     n = WIDTH // bits
     powers = np.int64(1) << np.arange(bits, dtype=np.int64)
 
     def run(batches):
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id")
+            texts, keep = b.column("text").to_pylist(), [c for c in b.schema.names if c != "text"]
             for i in range(0, len(texts), 500):
                 own = [bits_of(t or b"", shingle) for t in texts[i : i + 500]]
                 all_bits = np.stack(own)
@@ -80,11 +84,11 @@ def fingerprints(docs: DataFrame, bits: int, shingle: int = 5) -> DataFrame:
                 keys = all_bits[:, : n * bits].reshape(len(own), n, bits).astype(np.int64) @ powers + (np.arange(n, dtype=np.int64) << bits)
                 ends = np.arange(len(own) + 1)
                 lists = lambda x, k: pa.ListArray.from_arrays(pa.array(ends * k, pa.int32()), pa.array(x.ravel(), pa.int64()))
-                columns = [ids.slice(i, len(own)), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists(packed.view("<i8"), WORDS), lists(keys, n)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "wide", "keys"])
+                columns = [*(b.column(c).slice(i, len(own)) for c in keep), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists(packed.view("<i8"), WORDS), lists(keys, n)]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "node", "wide", "keys"])
 
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, wide array<long>, keys array<long>")
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("binary")})
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text") + ", node long, wide array<long>, keys array<long>")
 
 
 def _differ(a: str, b: str, words: int) -> Column:
@@ -121,23 +125,21 @@ def linked(nodes: DataFrame) -> DataFrame:
     return components(edges.unionByName(_verified(few, wide)).unionByName(many))
 
 
+def rooted(rows: DataFrame) -> DataFrame:
+    """The columns of a written table (node, wide, keys, ...) but wide and keys, and root, the smallest node of its group."""
+    nodes = cut(rows.groupBy("node").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys")))
+    found = linked(nodes).withColumnRenamed("node", "at")
+    return rows.drop("wide", "keys").join(found, F.col("node") == F.col("at"), "left").withColumn("root", F.coalesce("root", "node")).drop("at")
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row per input row: doc_id, node and component_id, the smallest doc_id reachable."""
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, docs.count()))) - 4)
-    rows = cut(fingerprints(docs, bits, shingle))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("wide").alias("wide"), F.first("keys").alias("keys")))
-    found = linked(nodes).withColumnRenamed("node", "at")
-    named = nodes.select("node", "low").join(found, F.col("node") == F.col("at"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.select("doc_id", "node").join(named.join(lowest, "root").select("node", "component_id"), "node", "left")
+    texts = pick(docs, "doc_id", "text")
+    rows = cut(rooted(cut(fingerprints(texts, block_bits(texts.count()), shingle))))
+    lowest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(lowest, "root").select("doc_id", "node", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of each component, that with its smallest doc_id, with all columns.
-
-    Rows of one doc_id in a component stay together; a component without any id stays whole.
-    """
-    marks = near_dedup(docs, shingle)
-    gone = marks.where("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    frame, at = flat(docs)
-    return frame.join(gone, at["doc_id"].eqNullSafe(F.col("gone")), "left_anti").toDF(*docs.columns)
+    """One row of each component, as simhash.one_of_each says."""
+    return one_of_each(docs, lambda texts: rooted(cut(fingerprints(texts, block_bits(texts.count()), shingle))))

@@ -95,6 +95,20 @@ def test_wide_simhash(spark, empty, most, monkeypatch):
     assert wide_simhash.near_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("module", [simhash, wide_simhash])
+def test_one_row_of_each_group_stays(spark, module):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(300)) for x in "abcd")
+    rows = [(None, a, 0), (5, a, 1), (None, b, 2), (None, c, 3), (None, c, 4), (7, d, 5), (7, b + " end", 6), (8, d, 7), (5, c + " and more", 8), (9, None, 9), (None, "", 10), (7, d, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    got = module.drop_near_copies(docs)
+    alike = {0: "a", 1: "a", 2: "b", 6: "b", 3: "c", 4: "c", 8: "c", 5: "d", 7: "d", 11: "d", 9: "", 10: ""}
+    named = module.near_dedup(docs)
+    assert got.columns == docs.columns and named.count() == len(rows)
+    stays = sorted(r.row for r in got.collect())
+    assert sorted(alike[r] for r in stays) == ["", "a", "b", "c", "d"] and set(stays) - {5, 11} == {1, 6, 8, 9}
+    assert module.drop_near_copies(docs.limit(0)).count() == 0
+
+
 def test_bpe(docs, empty):
     rows = bpe.encode(docs, vocabulary(), offsets=True).collect()
     assert sorted(map(str, (r.ids for r in rows))) == sorted(str(ids_of(t)) for _, t, *_ in DOCS)

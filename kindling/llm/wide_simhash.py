@@ -4,9 +4,10 @@ Two texts whose 5-word shingles have a Jaccard similarity of 0.8 differ in about
 SimHash bits, some ten of 64: too many for a short fingerprint to share a block that tells
 texts apart. Here a fingerprint has 1024 bits. It is split into blocks of `bits`, close pairs
 share a block, pairs are joined on equal blocks, and the Hamming distance is verified, first on
-128 bits that travel with the block and then on all 1024. A pair at 0.8 shares one of 64 blocks
-of 16 bits in 99 of 100 cases, at 0.9 nearly always; `bits` grows with the logarithm of the
-number of texts so that chance partners per text stay level.
+128 bits that travel with the block and then on all 1024. A pair at 0.8 shares one of 71 blocks
+of 16 bits in 99 of 100 cases, at 0.9 nearly always. `bits` grows with the logarithm of the
+number of texts so that chance partners per block stay level, and the number of blocks grows
+with `bits` so that recall does: further blocks are dealt from permutations of the same bits.
 
 Groups of copies make no pairs of all their members. First each text is compared with the
 smallest of each of its blocks, and verified links merge into groups; that is linear. Blocks
@@ -36,7 +37,9 @@ WIDTH, WORDS = 1024, 16
 DISTANCE = 162
 #: Longs of the sketch, and the bits of it that may differ; three and a half standard deviations above 15.2 %.
 SKETCH, SKETCH_DISTANCE = 2, 34
-LEAST_BITS, CHUNK = 16, 1 << 11
+LEAST_BITS, CHUNK, SLICE = 16, 1 << 11, 500
+#: Share of bits that differ at a similarity of 0.8, and of such pairs that may share no block.
+DIFFERING, MISSED = 0.1515, 0.005
 #: Verified pairs that each node asks for before blocks are joined, and members of a block above which whole fingerprints go into its join.
 ASKED, CROWDED = 3, 24
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(WORDS)], np.uint64)
@@ -68,20 +71,29 @@ def block_bits(rows: int) -> int:
     return max(LEAST_BITS, math.ceil(math.log2(max(2, rows))) - 4)
 
 
+def tables(bits: int) -> np.ndarray:
+    """The places in a fingerprint of the bits of each block, one row a block."""
+    n = WIDTH // bits
+    least = max(n, math.ceil(math.log(MISSED) / math.log(1 - (1 - DIFFERING) ** bits)))
+    draw = np.random.default_rng(SEED)
+    orders = [np.arange(WIDTH), *(draw.permutation(WIDTH) for _ in range(math.ceil(least / n) - 1))]
+    return np.concatenate([o[: n * bits].reshape(n, bits) for o in orders])[:least]
+
+
 def fingerprints(docs: DataFrame, bits: int, shingle: int = 5) -> DataFrame:
     """The columns of `docs` but text, node (a hash of the fingerprint), wide (16 longs) and keys, the blocks."""
-    n = WIDTH // bits
+    places, n = tables(bits), len(tables(bits))
     powers = np.int64(1) << np.arange(bits, dtype=np.int64)
 
     def run(batches):
         for b in batches:
             texts, keep = b.column("text").to_pylist(), [c for c in b.schema.names if c != "text"]
-            for i in range(0, len(texts), 500):
-                own = [bits_of(t or b"", shingle) for t in texts[i : i + 500]]
+            for i in range(0, len(texts), SLICE):
+                own = [bits_of(t or b"", shingle) for t in texts[i : i + SLICE]]
                 all_bits = np.stack(own)
                 packed = np.packbits(all_bits, axis=1, bitorder="little")
                 nodes = [xxhash.xxh64_intdigest(p.tobytes()) for p in packed]
-                keys = all_bits[:, : n * bits].reshape(len(own), n, bits).astype(np.int64) @ powers + (np.arange(n, dtype=np.int64) << bits)
+                keys = all_bits[:, places].astype(np.int64) @ powers + (np.arange(n, dtype=np.int64) << bits)
                 ends = np.arange(len(own) + 1)
                 lists = lambda x, k: pa.ListArray.from_arrays(pa.array(ends * k, pa.int32()), pa.array(x.ravel(), pa.int64()))
                 columns = [*(b.column(c).slice(i, len(own)) for c in keep), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists(packed.view("<i8"), WORDS), lists(keys, n)]

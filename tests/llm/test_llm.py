@@ -84,6 +84,14 @@ def test_links_in_crowded_blocks(spark, most):
     assert found == {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
 
 
+@pytest.mark.parametrize("rows", [10**4, 10**6, 10**7, 10**8, 10**9])
+def test_blocks_keep_recall_at_every_size(rows):
+    bits = wide_simhash.block_bits(rows)
+    assert bits >= 16 and rows / 2**bits <= 16
+    equal = np.random.default_rng(5).random((4000, wide_simhash.WIDTH)) >= 0.1515
+    assert np.mean([e[wide_simhash.tables(bits)].all(axis=1).any() for e in equal]) >= 0.985
+
+
 @pytest.mark.parametrize("most", [1, 24])
 def test_wide_simhash(spark, empty, most, monkeypatch):
     monkeypatch.setattr(wide_simhash, "CROWDED", most)

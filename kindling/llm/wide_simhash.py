@@ -9,14 +9,17 @@ of 16 bits in 99 of 100 cases, at 0.9 nearly always. `bits` grows with the logar
 number of texts so that chance partners per block stay level, and the number of blocks grows
 with `bits` so that recall does: further blocks are dealt from permutations of the same bits.
 
+What passes is a candidate. It is linked if the two sets of shingles, as 64-bit hashes, have a
+Jaccard similarity of 0.8 or more; texts of equal sets are one node.
+
 Groups of copies make no pairs of all their members. First each text is compared with the
 smallest of each of its blocks, and verified links merge into groups; that is linear. Blocks
 whose members are all of one group are done. In the others only members of different groups
 meet, so no link that could join two groups is left out, and there is no cap. Blocks of more
-than CROWDED members carry whole fingerprints into the join, which then emits verified pairs
+than CROWDED members carry whole fingerprints into the join, which then emits candidates
 alone; their comparisons, though not their rows, still grow with the square of a block.
 
-Edge cases: as in simhash. Texts without words share the fingerprint zero.
+Edge cases: as in simhash. Texts without words are one node.
 """
 
 from __future__ import annotations
@@ -33,38 +36,42 @@ from kindling.llm.common import cut, pick
 from kindling.llm.simhash import SEED, components, one_of_each
 
 WIDTH, WORDS = 1024, 16
-#: Bits that may differ: 15.2 % at 0.8, and half a standard deviation.
-DISTANCE = 162
+#: Bits that may differ in a candidate: 15.2 % at 0.8, and three standard deviations.
+DISTANCE = 190
 #: Longs of the sketch, and the bits of it that may differ; three and a half standard deviations above 15.2 %.
 SKETCH, SKETCH_DISTANCE = 2, 34
 LEAST_BITS, CHUNK, SLICE = 16, 1 << 11, 500
 #: Share of bits that differ at a similarity of 0.8, and of such pairs that may share no block.
 DIFFERING, MISSED = 0.1515, 0.005
-#: Verified pairs that each node asks for before blocks are joined, and members of a block above which whole fingerprints go into its join.
+#: Pairs that each node asks for before blocks are joined, and members of a block above which whole fingerprints go into its join.
 ASKED, CROWDED = 3, 24
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(WORDS)], np.uint64)
 
 
-def bits_of(text: bytes, size: int) -> np.ndarray:
-    """The WIDTH bits of a text, as bytes of 0 and 1."""
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The sorted, distinct 64-bit hashes of a text's word shingles."""
     words = text.lower().split()
-    ones = np.zeros(WIDTH, np.int64)
     if not words:
-        return ones.astype(np.uint8)
+        return np.zeros(0, np.uint64)
     size = min(size, len(words))
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
-    ends = ends[size - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    for i in range(0, len(starts), CHUNK):
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + CHUNK], ends[i : i + CHUNK])], np.uint64)
+    ends, digest = ends[size - 1 :].tolist(), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    """The WIDTH bits of a set of shingles, as bytes of 0 and 1."""
+    ones = np.zeros(WIDTH, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        h = hashes[i : i + CHUNK]
         wide = h[:, None] * _ODD  # one odd multiplier per word, then mixed down
         wide ^= wide >> np.uint64(29)
         wide *= np.uint64(0xBF58476D1CE4E5B9)
         wide ^= wide >> np.uint64(32)
         ones += np.unpackbits(wide.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return (2 * ones > len(starts)).astype(np.uint8)
+    return (2 * ones > len(hashes)).astype(np.uint8)
 
 
 def block_bits(rows: int) -> int:
@@ -81,7 +88,7 @@ def tables(bits: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, bits: int, shingle: int = 5) -> DataFrame:
-    """The columns of `docs` but text, node (a hash of the fingerprint), wide (16 longs) and keys, the blocks."""
+    """The columns of `docs` but text, node (a hash of the set of shingles), wide (16 longs) and keys, the blocks."""
     places, n = tables(bits), len(tables(bits))
     powers = np.int64(1) << np.arange(bits, dtype=np.int64)
 
@@ -89,10 +96,10 @@ def fingerprints(docs: DataFrame, bits: int, shingle: int = 5) -> DataFrame:
         for b in batches:
             texts, keep = b.column("text").to_pylist(), [c for c in b.schema.names if c != "text"]
             for i in range(0, len(texts), SLICE):
-                own = [bits_of(t or b"", shingle) for t in texts[i : i + SLICE]]
-                all_bits = np.stack(own)
+                own = [shingle_set(t or b"", shingle) for t in texts[i : i + SLICE]]
+                all_bits = np.stack([bits_of(h) for h in own])
                 packed = np.packbits(all_bits, axis=1, bitorder="little")
-                nodes = [xxhash.xxh64_intdigest(p.tobytes()) for p in packed]
+                nodes = [xxhash.xxh64_intdigest(h.tobytes()) for h in own]
                 keys = all_bits[:, places].astype(np.int64) @ powers + (np.arange(n, dtype=np.int64) << bits)
                 ends = np.arange(len(own) + 1)
                 lists = lambda x, k: pa.ListArray.from_arrays(pa.array(ends * k, pa.int32()), pa.array(x.ravel(), pa.int64()))
@@ -108,21 +115,38 @@ def _differ(a: str, b: str, words: int) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0))
 
 
-def _verified(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     """The pairs (u, v) whose fingerprints differ in DISTANCE bits or fewer."""
     both = pairs.join(wide.toDF("u", "w1"), "u").join(wide.toDF("v", "w2"), "v")
     return both.where(_differ("w1", "w2", WORDS) <= DISTANCE).select("u", "v")
 
 
-def linked(nodes: DataFrame) -> DataFrame:
-    """node and root, the smallest node it is linked to, for every node (node, wide, keys) with a link."""
-    wide = nodes.select("node", "wide")
+def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingles have a Jaccard similarity of 0.8 or more. `rows` has row and node, each once."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t or b"", shingle) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "set"])
+
+    pairs = cut(pairs.distinct())
+    asked = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(rows, "node"))
+    sets = cut(texts.select("row", F.col("text").cast("binary").alias("text")).join(asked, "row").select("node", "text").mapInArrow(run, "node long, set array<long>"))
+    both = pairs.join(sets.toDF("u", "s1"), "u").join(sets.toDF("v", "s2"), "v")
+    shared, most = F.size(F.array_intersect("s1", "s2")), F.size("s1") + F.size("s2")
+    return both.where(9 * shared >= 4 * most).select("u", "v")  # shared / (most - shared) >= 4 / 5
+
+
+def linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """node and root, the smallest node it is linked to, for every node (node, row, wide, keys) with a link; `texts` has row and text."""
+    wide, rows = nodes.select("node", "wide"), nodes.select("node", "row")
     listed = nodes.select(F.explode("keys").alias("key"), "node", F.slice("wide", 1, SKETCH).alias("s"))
     low = listed.groupBy("key").agg(F.min(F.struct("node", "s")).alias("low")).select("key", F.col("low.node").alias("v"), F.col("low.s").alias("s2"))
     met = listed.join(low, "key").withColumn("d", _differ("s", "s2", SKETCH))
     near = F.when((F.col("d") <= SKETCH_DISTANCE) & (F.col("v") != F.col("node")), F.struct("d", "v"))
     asked = met.groupBy("node").agg(F.sort_array(F.collect_set(near)).alias("near"))  # at most one for each block
-    edges = cut(_verified(asked.select(F.col("node").alias("u"), F.explode(F.slice("near", 1, ASKED)["v"]).alias("v")), wide))
+    edges = _near(asked.select(F.col("node").alias("u"), F.explode(F.slice("near", 1, ASKED)["v"]).alias("v")), wide)
+    edges = cut(alike(edges, rows, texts, shingle))
     rooted = listed.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
     mixed = cut(rooted.join(keys.where("a <> b").select("key", "n"), "key"))
@@ -134,24 +158,24 @@ def linked(nodes: DataFrame) -> DataFrame:
 
     few = meet(mixed.where(F.col("n") <= CROWDED).select("key", "node", "root", "s"), SKETCH, SKETCH_DISTANCE)
     many = meet(mixed.where(F.col("n") > CROWDED).join(wide, "node").select("key", "node", "root", "wide"), WORDS, DISTANCE)
-    return components(edges.unionByName(_verified(few, wide)).unionByName(many))
+    return components(edges.unionByName(alike(_near(few, wide).unionByName(many), rows, texts, shingle)))
 
 
-def rooted(rows: DataFrame) -> DataFrame:
-    """The columns of a written table (node, wide, keys, ...) but wide and keys, and root, the smallest node of its group."""
-    nodes = cut(rows.groupBy("node").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys")))
-    found = linked(nodes).withColumnRenamed("node", "at")
+def rooted(texts: DataFrame, shingle: int) -> DataFrame:
+    """row, doc_id, node and root, the smallest node of its group, for every row of a written table (row, doc_id, text)."""
+    rows = cut(fingerprints(texts, block_bits(texts.count()), shingle))
+    nodes = cut(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("wide").alias("wide"), F.first("keys").alias("keys")))
+    found = linked(nodes, texts, shingle).withColumnRenamed("node", "at")
     return rows.drop("wide", "keys").join(found, F.col("node") == F.col("at"), "left").withColumn("root", F.coalesce("root", "node")).drop("at")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row per input row: doc_id, node and component_id, the smallest doc_id reachable."""
-    texts = pick(docs, "doc_id", "text")
-    rows = cut(rooted(cut(fingerprints(texts, block_bits(texts.count()), shingle))))
+    rows = cut(rooted(cut(pick(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())), shingle))
     lowest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(lowest, "root").select("doc_id", "node", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of each component, as simhash.one_of_each says."""
-    return one_of_each(docs, lambda texts: rooted(cut(fingerprints(texts, block_bits(texts.count()), shingle))))
+    return one_of_each(docs, lambda texts: rooted(texts, shingle))

@@ -57,7 +57,7 @@ def features(text: str, lexicon: frozenset[str]) -> list[float]:
     return [
         len(fixed) / n, np.log1p(len(fixed)), len(learned) / n, np.log1p(len(learned)), len(hits) / n, len({found[i] for i in hits}), near / n, near,
         upper / n, sum(1 for c in text if c.isupper()) / chars if upper else 0.0, len(MARKS.findall(text)) / chars, text.count("!") / n, text.count("?") / n,
-        len(masked) / n, masked_hits / n, len(SPACED.findall(low)) / n if hits or "." in low else 0.0, np.log1p(len(found)),
+        len(masked) / n, masked_hits / n, len(SPACED.findall(low)) / n, np.log1p(len(found)),
     ]
 
 

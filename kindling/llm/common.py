@@ -89,8 +89,8 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def labelled(labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """About `rows` (doc_id, y) at most, chosen by hash among labels that may be learned from.
+def labelled(labels: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """About `rows` (doc_id, y) at most, chosen by hash among labels that may be learned from; all without `rows`.
 
     Rows whose remainder is 2 are never learned from. An id labelled more than once gets
     its largest label. A share is taken, so that the count holds in expectation.
@@ -103,5 +103,7 @@ def labelled(labels: DataFrame, label: str, rows: int) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max("y").cast("int").alias("y"))
     )
+    if rows is None:
+        return own
     share = rows / max(rows, own.count())
     return own.where(F.pmod(F.xxhash64(F.lit("labelled"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)

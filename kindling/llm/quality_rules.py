@@ -6,8 +6,7 @@ and adjacent pairs of them are hashed into BUCKETS, one multinomial is counted o
 trusted target and one over the whole raw corpus, and a document's score is the mean
 log-ratio of its n-grams. It is kept at THRESHOLD or above; nothing is drawn at random.
 
-The target is a bounded sample of rows labelled good (TARGET_ROWS at most, in expectation);
-the raw counts cover all rows. Without any target the ratio is zero and only the two rules hold.
+The target is all rows labelled good that may be learned from; the raw counts cover all rows. Without any target the ratio is zero and only the two rules hold.
 
 Edge cases: a null or empty text has no words and fails. Repeated rows get equal results.
 An empty table gives an empty result. Extra columns are ignored.
@@ -19,10 +18,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import flat, labelled, let, pick, words
+from kindling.llm.common import bounded, flat, labelled, let, pick, words
 
 BUCKETS = 1 << 14
-TARGET_ROWS = 200_000
 SMOOTHING = 1.0
 THRESHOLD = -0.25
 WINDOW = 8
@@ -46,10 +44,10 @@ def bucket(x: Column) -> Column:
     return x.bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> np.ndarray:
+def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log-ratio of each bucket, from counts over all of `docs`. BUCKETS numbers reach the driver."""
-    good = labelled(labels, "quality", target_rows).where("y = 1").select("doc_id", F.lit(1).alias("good"))
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(good), "doc_id", "left")  # target_rows longs at most
+    good = labelled(labels, "quality").where("y = 1").select("doc_id", F.lit(1).alias("good"))
+    rows = pick(docs, "doc_id", "text").join(bounded(good, good.count()), "doc_id", "left")
     listed = rows.select("good", F.explode(grams(F.col("text"))).alias("gram"))
     counts = listed.groupBy(bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("n"), F.count("good").alias("t"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -115,16 +113,16 @@ def _measured(df: DataFrame, text: Column, ratios: np.ndarray) -> DataFrame:
     return df.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: doc_id, the measures, base_failed, score and kept."""
-    rows = _measured(pick(docs, "doc_id", "text"), F.col("text"), log_ratios(docs, labels, target_rows))
+    rows = _measured(pick(docs, "doc_id", "text"), F.col("text"), log_ratios(docs, labels))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
-def drop_poor(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that quality_rules keeps, with all their columns."""
     frame, at = flat(docs)
-    rows = _measured(frame, at["text"], log_ratios(docs, labels, target_rows))
+    rows = _measured(frame, at["text"], log_ratios(docs, labels))
     # A filter pushed below the projections would split the text again for each window of it; one
     # that uses a column which isn't deterministic stays above them.
     kept = rows.withColumn("row_", F.monotonically_increasing_id()).where("kept and row_ >= 0")

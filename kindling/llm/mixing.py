@@ -15,10 +15,10 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.llm.common import cut, flat, pick, words
+from kindling.llm.common import WORD_GAP, cut, flat, pick, words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -90,11 +90,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return _taken(light, ends).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The beginning of a text of more than `n` words, up to the end of its n-th, blanks as they are."""
+    n = n + text.rlike(rf"\A{WORD_GAP}").cast("int")  # an empty piece stands before leading blanks
+    rest = F.element_at(F.split(text, WORD_GAP, n + 1), -1)
+    return F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(rest)), rf"{WORD_GAP}\z", "")
+
+
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mix itself: each row once per time it is taken, with all its columns.
 
-    The copy at a cut keeps its first words only, up to the budget, joined by one space; its n_chars, where
-    there is one, follows. Rows that take nothing are gone.
+    The copy at a cut is the beginning of its text up to the end of the last word that the budget has; its
+    n_chars, where there is one, follows. Rows that take nothing are gone.
     """
     ends = cut(cuts(cut(_keyed(pick(docs, "doc_id", "source", "text"))), weights, cap))
     frame, at = flat(docs)
@@ -104,7 +111,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     partly = (F.col("part") > 0) & (F.col("part") < F.col("size"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("whole") + partly.cast("long")).cast("int"))))
     short = partly & (F.col("copy") > F.col("whole"))
-    text = F.when(short, F.array_join(F.slice(words(at["text"]), F.lit(1), F.col("part").cast("int")), " ")).otherwise(at["text"])
+    text = F.when(short, first_words(at["text"], F.col("part").cast("int"))).otherwise(at["text"])
     out = {c: at[c] for c in docs.columns} | {next(c for c in docs.columns if c.lower() == "text"): text}
     if "n_chars" in out:
         out["n_chars"] = F.when(short, F.length(text).cast("long")).otherwise(at["n_chars"])

@@ -10,7 +10,7 @@ SHARED = {0.79: (158, 179), 0.80: (80, 90), 0.82: (82, 91), 0.85: (170, 185)}
 PAIRS = 100
 
 
-@pytest.mark.parametrize("bits", [16])
+@pytest.mark.parametrize("bits", [16, 20, 22])
 def test_isolated_pairs(spark, bits, monkeypatch):
     monkeypatch.setattr(wide_simhash, "LEAST_BITS", bits)
     draw, rows = np.random.default_rng(bits), []

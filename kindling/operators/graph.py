@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Checkpointed in spark.checkpoint.dir; a folder of one's own only in a local session without it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kindling-"))
-    return df.checkpoint()
+from kindling.operators.shared import counted_join, cut
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and component, its smallest reachable node; edges (u, v) of longs.
+def linked(edges: DataFrame) -> DataFrame:
+    """node and root, its smallest reachable node, for every node on an edge (u, v) that isn't a root itself.
 
-    Each round every node takes the least label around it and then that label's own label,
-    so paths halve and rounds stay few.
+    Large-star and small-star steps alternate: each node hands the larger of its neighbours, then the
+    smaller ones, to the least of them. Edges never grow in number, every component ends as a star
+    around its smallest node, and rounds grow with the logarithm of its size. Each round is written to the shared
+    folder. A node with very many neighbours is broadcast to them, not gathered with them.
     """
-    both = _kept(edges.select("u", "v").union(edges.select("v", "u")).distinct())
-    label = _kept(nodes.select("node", F.col("node").alias("component")))
+    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    total, mark = edges.count(), None
     while True:
-        seen = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("low"))
-        lower = label.join(seen, label["node"] == seen["u"], "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("new"))
-        jump = lower.select(F.col("node").alias("at"), F.col("new").alias("to"))
-        after = _kept(lower.join(jump, lower["new"] == jump["at"], "left").select("node", F.col("component").alias("was"), F.least("new", F.coalesce("to", "new")).alias("component")))
-        moved = not after.where("was <> component").isEmpty()
-        label = after.select("node", "component")
-        if not moved:
-            return label
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = cut(counted_join(both, least, ["u"], 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = counted_join(large, least, ["u"], total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        total, *now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if (total, now) == mark:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        mark = (total, now)
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component, its smallest reachable node, for every row of `nodes`; edges (u, v)."""
+    return nodes.select("node").join(linked(edges), "node", "left").select("node", F.coalesce("root", "node").alias("component"))

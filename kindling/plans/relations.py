@@ -39,8 +39,9 @@ _below = " + ".join(f"(CASE WHEN ({x}) IS NOT NULL THEN {abs(w)}::DOUBLE ELSE 0
 (SELECT round(least(greatest(({_top}) / ({_below}) / 0.6076826763957318::DOUBLE, 0), 1), 9) AS s FROM ({SCALED})) GROUP BY ALL""")
 def ramp_score_renorm(spark, sf_dir):
     x = {"rh": F.when(F.col("l_linenumber") != 2, F.col("rh")), "wind": F.when(F.col("l_linenumber") != 3, F.col("w")), "vpd": F.col("l_quantity") / 10, "kbdi": F.col("l_quantity") * 4, "cure": F.col("l_extendedprice") / 50, "precip_relief": F.col("l_discount") * 100}
-    score = r(scores.weighted_score({n: scores.ramp(v, *scores.RAMPS[n]) for n, v in x.items()}), 9)
-    return _scaled(spark, sf_dir).groupBy(scores.level(score, [0.2, 0.4, 0.6, 0.8]).alias("level")).agg(F.count("*").alias("n"))
+    ramps = _scaled(spark, sf_dir).select(*(scores.ramp(v, *scores.RAMPS[n]).alias(n) for n, v in x.items()))
+    score = ramps.select(r(scores.weighted_score({n: F.col(n) for n in x}), 9).alias("score"))  # a step a column: one expression would repeat its parts
+    return score.groupBy(scores.level(F.col("score"), [0.2, 0.4, 0.6, 0.8]).alias("level")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT l_returnflag, round(avg(least(40.0::DOUBLE, greatest(1.0::DOUBLE, CASE WHEN rh <= 10 THEN 0.03::DOUBLE + 0.2626::DOUBLE * rh - 0.00104::DOUBLE * rh * t WHEN rh <= 50 THEN 2.22::DOUBLE - 0.160::DOUBLE * rh + 0.01660::DOUBLE * t

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindling.functions import scores, weather
-from kindling.operators import folds, graph, splits
+from kindling.operators import folds, graph, shared, splits
 from kindling.sources import sinks, stations
 from kindling.streaming import observations
 
@@ -66,3 +66,22 @@ def test_stream(spark, tmp_path):
     events.repartition(2).write.parquet(str(tmp_path / "in"))
     s = observations.hourly(observations.source(spark, str(tmp_path / "in"), events.schema), ["event_type"], "ts", "value")
     assert observations.run_available(s, "hours", str(tmp_path / "cp")).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_sieve_and_counted_join(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") % 700).alias("k"), "id")
+    keys = rows.where("k % 3 = 0").groupBy("k").agg(F.count("*").alias("n")).unionByName(spark.createDataFrame([(9999, 0)], "k long, n long"))
+    out = shared.sieved(rows, F.xxhash64("k"), keys, F.xxhash64("k"))
+    assert out.count() == 5000 and out.where("k % 3 = 0 and not maybe").isEmpty() and out.where("maybe").count() < 1800
+    want = rows.join(keys, "k").count()
+    for bound in (500_000, 700):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", bound)
+        assert shared.counted_join(rows, keys, ["k"], 5000).count() == want and shared.counted_join(rows, keys, ["k"], 5000, how="left").count() == 5000
+
+
+def test_components_of_a_path_and_a_star(spark):
+    path = [(i, i + 1) for i in range(0, 200)]
+    star = [(1000, x) for x in range(1001, 1400)]
+    got = {r.node: r.root for r in graph.linked(spark.createDataFrame(path + star, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 201)} | {i: 1000 for i in range(1001, 1400)}
+    assert graph.linked(spark.createDataFrame([], "u long, v long")).count() == 0

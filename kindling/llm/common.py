@@ -2,52 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindling.operators.shared import BROADCAST_ROWS, counted_join, cut, shared_dir, sieved
+
+__all__ = ["bounded", "counted_join", "cut", "flat", "labelled", "let", "pick", "position", "remainder", "shared_dir", "sieved", "table", "words"]
+
 #: Words are runs of anything but these six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
-#: Most rows of a side that is broadcast; its rows are a few longs wide.
-BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see, under spark.checkpoint.dir.
-
-    Where that is unset a local session gets a temporary folder; a cluster is refused.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = getattr(shared_dir, "own", None)
-        if root is None:
-            root = shared_dir.own = tempfile.mkdtemp(prefix="kindling-")
-            atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root.rstrip('/')}/kindling-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads them back.
-
-    Lineage ends there, so a lost executor costs no recomputation, and values such as
-    partition ids stay what they were when first computed.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def flat(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     """Columns renamed by position, and where each original name went.
 
@@ -63,6 +33,11 @@ def flat(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     return df.toDF(*(f"c_{i}" for i in range(len(names)))), where
 
 
+def position(names: list[str], name: str) -> int:
+    """Where flat() finds a name: exactly first, without regard to case next."""
+    return names.index(name) if name in names else [n.lower() for n in names].index(name)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns."""
     frame, where = flat(df)

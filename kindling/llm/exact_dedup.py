@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import BROADCAST_ROWS, bounded, cut, flat, pick
+from kindling.llm.common import bounded, counted_join, cut, flat, pick
 
 FINGERPRINT_BITS = 48
 #: Rows whose fingerprints one owner holds, about.
@@ -96,7 +96,8 @@ def suspects(prints: DataFrame, owners: int) -> DataFrame:
 
 def _hashed(df: DataFrame) -> DataFrame:
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return df.withColumn("sha", sha).withColumn("fp", F.conv(F.substring("sha", 1, FINGERPRINT_BITS // 4), 16, 10).cast("long"))
+    df = df.withColumn("sha", sha).withColumn("fp", F.conv(F.substring("sha", 1, FINGERPRINT_BITS // 4), 16, 10).cast("long"))
+    return df.withColumn("sha", F.unhex("sha"))  # 32 bytes
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -121,19 +122,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
     top = light.join(doubtful, "fp", "left_semi").groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "row")).alias("top"))
     groups = cut(same.join(top, ["fp", "sha"]))
-    # Groups above this size are fewer than BROADCAST_ROWS by arithmetic, so they are broadcast and
-    # their rows are not shuffled; below it a key brings at most that many rows to a task.
-    large = max(1, n // BROADCAST_ROWS)
-    marked = light.join(F.broadcast(groups.where(F.col("group_size") > large)), ["fp", "sha"], "left")
-    if large > 1:
-        rest = marked.where("top is null").select("fp", "sha", "doc_id", "row").join(groups.where(F.col("group_size") <= large), ["fp", "sha"], "left")
-        marked = marked.where("top is not null").unionByName(rest)
+    marked = counted_join(light, groups, ["fp", "sha"], n, "group_size", "left")
     return marked.select(
         "doc_id",
         F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("top.row") == F.col("row"), F.lit(True)).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 

@@ -5,8 +5,7 @@ bits share at least two whole blocks, so each is listed under its six pairs of b
 joined there; the Hamming distance is verified in the join. A pair of blocks that many
 distinct fingerprints share is not joined with itself: its members look up the 528
 fingerprints that flip one or two bits of the other blocks, which finds the same links in
-linear work. Equal fingerprints are one node, so copies never make pairs. Components come
-from alternating large-star and small-star steps, each written to the shared folder.
+linear work. Equal fingerprints are one node, so copies never make pairs.
 
 Edge cases: a null or empty text has no words and fingerprint zero, linked like any other.
 Null ids don't count for component_id; a component without any id has none. Repeated rows
@@ -23,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import cut, flat, pick
+from kindling.llm.common import counted_join, cut, flat, pick
+from kindling.operators.graph import linked
 
 SEED = 42
 BLOCK_BITS, BLOCKS, DISTANCE = 16, 4, 2
@@ -93,31 +93,14 @@ def links(prints: DataFrame, most: int = JOINED_ROWS) -> DataFrame:
     return near.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root, its smallest reachable node, for every node on an edge (u, v)."""
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
-
-
 def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row per input row: doc_id, fp and component_id, the smallest doc_id reachable."""
     rows = cut(fingerprints(docs, shingle))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    linked = components(links(nodes.select("fp")))
-    named = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    found = linked(links(nodes.select("fp")))
+    named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(named.join(lowest, "root").select("fp", "component_id"), "fp", "left")
+    return counted_join(rows, named.join(lowest, "root").select("fp", "n", "component_id"), ["fp"], rows.count()).drop("n")
 
 
 def one_of_each(docs: DataFrame, rooted) -> DataFrame:
@@ -132,7 +115,7 @@ def one_of_each(docs: DataFrame, rooted) -> DataFrame:
     marks = cut(rooted(frame.select("row", at["doc_id"].cast("long").alias("doc_id"), at["text"].alias("text"))))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "row"))
     groups = cut(marks.groupBy("root").agg(first["row"].alias("first"), F.count("*").alias("n")).where("n > 1"))
-    gone = cut(marks.join(groups, "root").where("row <> first").select("row"))
+    gone = cut(counted_join(marks.select("root", "row"), groups, ["root"], marks.count()).where("row <> first").select("row"))
     return frame.join(gone, "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
@@ -141,8 +124,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     def rooted(texts: DataFrame) -> DataFrame:
         rows = cut(fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), shingle)).withColumnRenamed("doc_id", "row")
-        linked = components(links(cut(rows.select("fp").distinct())))
-        marks = rows.join(linked, F.col("fp") == F.col("node"), "left").select("row", F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"))
+        found = linked(links(cut(rows.select("fp").distinct())))
+        marks = rows.join(found, F.col("fp") == F.col("node"), "left").select("row", F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"))
         return marks.join(texts.select("row", "doc_id"), "row")
 
     return one_of_each(docs, rooted)

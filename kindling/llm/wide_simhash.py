@@ -16,8 +16,9 @@ Groups of copies make no pairs of all their members. First each text is compared
 smallest of each of its blocks, and verified links merge into groups; that is linear. Blocks
 whose members are all of one group are done. In the others only members of different groups
 meet, so no link that could join two groups is left out, and there is no cap. Blocks of more
-than CROWDED members carry whole fingerprints into the join, which then emits candidates
-alone; their comparisons, though not their rows, still grow with the square of a block.
+than CROWDED members carry whole fingerprints into the join, which makes both tests there. A large block is
+dealt into tiles, every two of which meet in a task of their own, so no block is one task's work; the comparisons of
+texts that share a block and aren't alike, though not their rows, still grow with the square of the block.
 
 Edge cases: as in simhash. Texts without words are one node.
 """
@@ -33,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindling.llm.common import cut, pick
-from kindling.llm.simhash import SEED, components, one_of_each
+from kindling.llm.simhash import SEED, one_of_each
+from kindling.operators import graph
 
 WIDTH, WORDS = 1024, 16
 #: Bits that may differ in a candidate: 15.2 % at 0.8, and three standard deviations.
@@ -43,8 +45,13 @@ SKETCH, SKETCH_DISTANCE = 2, 34
 LEAST_BITS, CHUNK, SLICE = 16, 1 << 11, 500
 #: Share of bits that differ at a similarity of 0.8, and of such pairs that may share no block.
 DIFFERING, MISSED = 0.1515, 0.005
-#: Pairs that each node asks for before blocks are joined, and members of a block above which whole fingerprints go into its join.
-ASKED, CROWDED = 3, 24
+#: Pairs that each node asks for before blocks are joined.
+ASKED = 3
+#: Members of a block above which whole fingerprints go into its join. Chance brings 16 at most on average; what is found
+#: doesn't depend on it, only where the last test of a pair is made.
+CROWDED = 24
+#: Members of a block that one task compares with as many others.
+TILE = 256
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(WORDS)], np.uint64)
 
 
@@ -137,6 +144,16 @@ def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int) ->
     return both.where(9 * shared >= 4 * most).select("u", "v")  # shared / (most - shared) >= 4 / 5
 
 
+def _meet(members: DataFrame, near: Column) -> DataFrame:
+    """The pairs (u, v) of one block, of different roots and `near`; members are (key, n, node, root, w)."""
+    own = members.toDF("key", "n", "node", "root", "w").withColumn("last", F.floor((F.col("n") - 1) / TILE))
+    own = own.withColumn("tile", F.when(F.col("last") > 0, F.pmod(F.xxhash64("node"), F.col("last") + 1)).otherwise(F.lit(0)))
+    left = own.select("key", "tile", F.explode(F.sequence("tile", "last")).alias("other"), F.col("node").alias("u"), F.col("root").alias("r1"), F.col("w").alias("w1"))
+    right = own.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "tile")).alias("tile"), F.col("tile").alias("other"), F.col("node").alias("v"), F.col("root").alias("r2"), F.col("w").alias("w2"))
+    apart = ((F.col("u") < F.col("v")) | (F.col("tile") < F.col("other"))) & (F.col("r1") != F.col("r2"))
+    return left.join(right, ["key", "tile", "other"]).where(apart & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """node and root, the smallest node it is linked to, for every node (node, row, wide, keys) with a link; `texts` has row and text."""
     wide, rows = nodes.select("node", "wide"), nodes.select("node", "row")
@@ -147,18 +164,14 @@ def linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     asked = met.groupBy("node").agg(F.sort_array(F.collect_set(near)).alias("near"))  # at most one for each block
     edges = _near(asked.select(F.col("node").alias("u"), F.explode(F.slice("near", 1, ASKED)["v"]).alias("v")), wide)
     edges = cut(alike(edges, rows, texts, shingle))
-    rooted = listed.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = listed.join(graph.linked(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
     mixed = cut(rooted.join(keys.where("a <> b").select("key", "n"), "key"))
 
-    def meet(rows: DataFrame, words: int, most: int) -> DataFrame:
-        left, right = rows.toDF("key", "u", "r1", "w1"), rows.toDF("key", "v", "r2", "w2")
-        apart = (F.col("u") < F.col("v")) & (F.col("r1") != F.col("r2"))
-        return left.join(right, "key").where(apart & (_differ("w1", "w2", words) <= most)).select("u", "v").distinct()
-
-    few = meet(mixed.where(F.col("n") <= CROWDED).select("key", "node", "root", "s"), SKETCH, SKETCH_DISTANCE)
-    many = meet(mixed.where(F.col("n") > CROWDED).join(wide, "node").select("key", "node", "root", "wide"), WORDS, DISTANCE)
-    return components(edges.unionByName(alike(_near(few, wide).unionByName(many), rows, texts, shingle)))
+    sketch = _differ("w1", "w2", SKETCH) <= SKETCH_DISTANCE
+    few = _meet(mixed.where(F.col("n") <= CROWDED).select("key", "n", "node", "root", "s"), sketch)
+    many = _meet(mixed.where(F.col("n") > CROWDED).join(wide, "node").select("key", "n", "node", "root", "wide"), sketch & (_differ("w1", "w2", WORDS) <= DISTANCE))
+    return graph.linked(edges.unionByName(alike(_near(few, wide).unionByName(many), rows, texts, shingle)))
 
 
 def rooted(texts: DataFrame, shingle: int) -> DataFrame:

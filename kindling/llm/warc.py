@@ -5,9 +5,12 @@ magic and tries each place by decoding the member's head; one that opens a WARC
 read whole, past the range's end if it must, and belongs to the range it starts in.
 Records of equal payloads become one response, that with the smallest page_id, and revisits.
 
+A member that opens a WARC record and then turns out cut short or damaged fails the read; one whose
+head is beyond recognition is missed by the scan, so round_trip() compares the records read with those written.
+
 Edge cases: a null html is an empty payload. A null page_id comes after all others; if no page of
 a group has an id all its records are responses. Pages that repeat the smallest page_id
-are responses, each. An empty table gives an empty result. Extra columns are ignored.
+are responses, each. A very long payload is one record, held by one task. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import cut, pick, shared_dir
+from kindling.llm.common import counted_join, cut, pick, shared_dir, sieved
 from kindling.llm.files import created, opened
 
 GZIP = b"\x1f\x8b\x08"
@@ -59,9 +62,13 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Writes one archive per partition; path, n_bytes and n_records of each."""
     own = pick(pages, "page_id", "url", "html")
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    own = own.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("sha"))
-    first = own.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = own.join(first.select("sha", "first"), "sha", "left")
+    own = own.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.unhex(F.sha2(html, 256)).alias("sha"))
+    light = cut(own.where(F.octet_length("html") >= min_bytes).select("sha", "page_id"))
+    first = cut(light.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    # payloads without an equal stay where they are, and so do those of large groups
+    told = sieved(own, F.xxhash64("sha"), first, F.xxhash64("sha"))
+    met = counted_join(told.where("maybe").drop("maybe"), first, ["sha"], light.count(), how="left").drop("n")
+    rows = met.unionByName(told.where("not maybe").drop("maybe").withColumn("first", F.lit(None).cast("long")))
     rows = rows.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
 
     def run(batches):
@@ -119,6 +126,8 @@ def members(file, start: int, end: int):
                         break
         except zlib.error:
             good = False
+        if good is not None and b"".join(out)[:5] == b"WARC/" and not d.eof:
+            raise ValueError(f"the record at byte {base} is cut short or damaged")
         if good and d.eof:
             yield base, b"".join(out)
             used = len(buf) - len(d.unused_data)
@@ -165,4 +174,10 @@ def read(files: DataFrame, payloads: bool = True, split: int = SPLIT) -> DataFra
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    return read(write(pages, shared_dir(pages.sparkSession), min_bytes), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes all pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    files = write(pages, shared_dir(pages.sparkSession), min_bytes)
+    rows = cut(read(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    written = files.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
+    if (n := rows.count()) != written:
+        raise ValueError(f"{written} records were written and {n} read")
+    return rows

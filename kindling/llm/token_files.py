@@ -9,13 +9,14 @@ fixed width, so a reader finds any document by a few seeks and unpacks whole blo
     ids, documents, offset of the footer, MAGIC)
 
 Files are written in ascending doc_id order, null first; rows of one doc_id stand together
-in any order. A null or empty text is the end id alone. An empty table gives an empty result.
+in any order. A null or empty text is the end id alone. A very long text is encoded and written whole, over as many blocks as it takes. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 class Writer:
     def __init__(self, out, bits: int):
         self.out, self.bits, self.at = out, bits, 0
-        self.offsets, self.lengths, self.names = [], [], []
+        self.offsets, self.lengths, self.names, self.void = array("q"), array("q"), array("q"), bytearray()
         self.rest, self.held = [np.empty(0, "<u4")], 0
 
     def _flush(self, last: bool = False) -> None:
@@ -64,7 +65,8 @@ class Writer:
         self.rest, self.held = [ids[whole:]], len(ids) - whole
 
     def add(self, doc_id: int | None, *ids: np.ndarray) -> None:
-        self.names.append(doc_id)
+        self.names.append(doc_id or 0)
+        self.void.append(doc_id is None)
         self.lengths.append(sum(map(len, ids)))
         self.rest += ids
         self.held += self.lengths[-1]
@@ -74,7 +76,7 @@ class Writer:
     def close(self) -> tuple[int, int]:
         self._flush(last=True)
         starts = np.concatenate(([0], np.cumsum(np.array(self.lengths, np.int64))))
-        for a in (np.array(self.offsets, "<u8"), starts.astype("<u8"), np.array([x or 0 for x in self.names], "<i8"), np.array([x is None for x in self.names], np.uint8)):
+        for a in (np.array(self.offsets, "<u8"), starts.astype("<u8"), np.array(self.names, "<i8"), np.frombuffer(self.void, np.uint8)):
             self.out.write(a.tobytes())
         n, ids = len(self.names), int(starts[-1])
         self.out.write(np.array([self.bits, BLOCK, len(self.offsets), ids, n, self.at, MAGIC], "<u8").tobytes())

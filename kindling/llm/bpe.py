@@ -2,18 +2,20 @@
 
 A text is cut after each run of non-blanks; the pattern that splits text before the merges
 always ends a match there, so a piece has the same ids wherever it stands. Pieces are looked
-up in a memo and the library encodes those not seen yet, a batch at a time. Texts with blanks
-other than space and line feed are encoded whole. Decoding maps ids to bytes by the reversed
+up in a memo and the library encodes those not seen yet, a batch at a time; the offsets of its encoding
+tell where a piece ends and are held against the byte table. That holds for the byte-level splitting that CUTTABLE
+describes. With any other vocabulary, and where a text has blanks other than space and line feed, texts are encoded whole. Decoding maps ids to bytes by the reversed
 byte table and joins the bytes before any character is formed, so characters split over
 several ids come back whole.
 
 Edge cases: a null or empty text has no ids. Strings of special tokens are ordinary text. Bytes
-that aren't UTF-8 are replaced before encoding. Repeated rows get equal results; an empty table
+that aren't UTF-8 are replaced before encoding. Very long texts are encoded whole, by pieces. Repeated rows get equal results; an empty table
 gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import cache
@@ -30,6 +32,8 @@ from kindling.llm.common import pick
 PIECE = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
 #: Blanks beside which pieces can't be told apart.
 ODD_BLANK = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+# The settings of a vocabulary file under which a match always ends after a run of non-blanks.
+CUTTABLE = {"normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None}}
 #: Entries of the memo; beyond, the later half goes: frequent pieces come early.
 MEMO_ROWS, MEMO_BYTES = 800_000, 48
 #: New pieces that the library encodes as one text.
@@ -63,14 +67,27 @@ class Codec:
         for piece, i in vocab.items():
             self.bytes[i] = bytes(map(letters.__getitem__, piece)) if all(c in letters for c in piece) else piece.encode()
         self.lengths = np.fromiter(map(len, self.bytes), np.int64, self.size)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        found = lambda want, got: all(found(v, got[k]) if isinstance(v, dict) else got.get(k) == v for k, v in want.items()) if isinstance(got, dict) else False
+        self.cuttable = found(CUTTABLE, told)
+
+    def _checked(self, encoding, text: str) -> np.ndarray:
+        """The ids of an encoding. Its offsets, in characters, must be those that the byte table gives."""
+        ids = np.array(encoding.ids, self.kind)
+        if self.cuttable and len(ids):
+            starts = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(ids))
+            if not np.array_equal(starts, self.offsets(text, ids)[1]):
+                raise ValueError("the vocabulary's bytes and the library's offsets differ")
+        return ids
 
     def _new(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """The ids of pieces, from the library: those with blanks in front and none behind joined, the others each alone."""
-        plain = [p for p in pieces if p[0] in b" \n" and p[-1] not in b" \n"]
-        alone = [p for p in pieces if not (p[0] in b" \n" and p[-1] not in b" \n")]
+        joins = lambda p: self.cuttable and p[0] in b" \n" and p[-1] not in b" \n"
+        plain, alone = [p for p in pieces if joins(p)], [p for p in pieces if not joins(p)]
         joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         texts = [b"".join(x).decode() for x in joined] + [p.decode() for p in alone]
-        ids = [np.array(e.ids, self.kind) for e in self.model.encode_batch(texts, add_special_tokens=False)] if texts else []
+        ids = [self._checked(e, t) for e, t in zip(self.model.encode_batch(texts, add_special_tokens=False), texts)] if texts else []
         out = {p: x.tobytes() for p, x in zip(alone, ids[len(joined) :])}
         for own, x in zip(joined, ids):
             ends, wanted = np.cumsum(self.lengths[x]), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
@@ -87,7 +104,7 @@ class Codec:
         """The ids of each text."""
         found, new = [], {}
         for t in texts:
-            pieces = [t.encode()] if ODD_BLANK.search(t) else PIECE.findall(t.encode())
+            pieces = ([t.encode()] if t else []) if ODD_BLANK.search(t) or not self.cuttable else PIECE.findall(t.encode())
             ids = list(map(self.memo.get, pieces))
             gaps = [i for i, x in enumerate(ids) if x is None]
             pieces = [pieces[i] for i in gaps]

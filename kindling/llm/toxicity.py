@@ -7,7 +7,7 @@ other fits the trees and, on a part held back, the calibration. Labels, language
 doc_id are no inputs. All rows are scored, whole texts.
 
 Edge cases: a null or empty text gets the score of a text without words. A null doc_id is not
-held out. Without labels of both kinds every score is the share of toxic labels, or 0 if there
+held out. Very long texts are measured whole. Without labels of both kinds every score is the share of toxic labels, or 0 if there
 are none. Repeated rows get equal scores; an empty table gives an empty result. Extra columns
 are ignored.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import labelled, pick, remainder
+from kindling.llm.common import cut, labelled, pick, remainder
 from kindling.llm.trees import Isotonic, Trees
 
 #: Labelled rows that are learned from, about; the bound holds in expectation.
@@ -30,6 +30,8 @@ SAMPLE_ROWS = 30_000
 LEXICON_ROWS, LEXICON_DOCS, LEXICON_RATIO = 2_000, 8, 12.0
 THRESHOLD = 0.3
 NEAR = 6
+#: Lengths of word beginnings in the learned lexicon; only of longer words.
+STARTS = (5, 4)
 # Insults in common use, and second persons in four languages.
 INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb dumbass loser losers pathetic worthless trash garbage scum clown clowns disgusting jerk creep freak bastard bitch asshole crap shit fuck fucking bullshit retard imbecile fool vermin filth hate kill".split()
@@ -47,7 +49,7 @@ def features(text: str, lexicon: frozenset[str]) -> list[float]:
     found = WORD.findall(low)
     n, chars = max(1, len(found)), max(1, len(text))
     fixed = [i for i, w in enumerate(found) if w in INSULTS]
-    learned = [i for i, w in enumerate(found) if w in lexicon or w[:5] + "*" in lexicon or w[:4] + "*" in lexicon]
+    learned = [i for i, w in enumerate(found) if w in lexicon or any(len(w) > k and w[:k] + "*" in lexicon for k in STARTS)]
     hits, near = sorted({*fixed, *learned}), 0
     for i in hits:
         near += any(w in SECOND for w in found[max(0, i - NEAR) : i + NEAR + 1])
@@ -64,16 +66,26 @@ def features(text: str, lexicon: frozenset[str]) -> list[float]:
 WIDTH = len(features("", frozenset()))
 
 
+def units(text: str) -> set[str]:
+    """The distinct words of a text, and the beginnings of its longer words."""
+    found = set(WORD.findall(text.lower()))
+    return found | {w[:k] + "*" for w in found for k in STARTS if len(w) > k}
+
+
 def learn_lexicon(rows: DataFrame) -> frozenset[str]:
     """Words and beginnings (ending in *) that toxic rows (text, y) have far oftener. At most LEXICON_ROWS reach the driver."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
-    starts = [F.transform(F.filter(found, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in (4, 5)]
-    units = rows.select("y", F.explode(F.array_distinct(F.concat(found, *starts))).alias("unit"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([list(units((t or b"").decode("utf-8", "replace"))) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], ["y", "units"])
+
+    rows = cut(rows.select("y", F.col("text").cast("binary").alias("text")).mapInArrow(run, "y int, units array<string>"))
+    units_of = rows.select("y", F.explode("units").alias("unit"))
     toxic, all_rows = (float(x or 0) for x in rows.agg(F.sum("y"), F.count("*")).first())
     if not 0 < toxic < all_rows:
         return frozenset()
     ratio = (F.col("t") / toxic) / ((F.col("n") - F.col("t") + 0.5) / (all_rows - toxic))
-    best = units.groupBy("unit").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where((F.col("t") >= LEXICON_DOCS) & (ratio >= LEXICON_RATIO))
+    best = units_of.groupBy("unit").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where((F.col("t") >= LEXICON_DOCS) & (ratio >= LEXICON_RATIO))
     return frozenset(r.unit for r in best.orderBy(F.desc("t"), "unit").limit(LEXICON_ROWS).collect())
 
 

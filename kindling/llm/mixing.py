@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.llm.common import WORD_GAP, cut, flat, pick, words
+from kindling.llm.common import WORD_GAP, cut, flat, pick, position, words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -112,7 +112,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("whole") + partly.cast("long")).cast("int"))))
     short = partly & (F.col("copy") > F.col("whole"))
     text = F.when(short, first_words(at["text"], F.col("part").cast("int"))).otherwise(at["text"])
-    out = {c: at[c] for c in docs.columns} | {next(c for c in docs.columns if c.lower() == "text"): text}
-    if "n_chars" in out:
-        out["n_chars"] = F.when(short, F.length(text).cast("long")).otherwise(at["n_chars"])
-    return rows.select(*(v.alias(k) for k, v in out.items()))
+    out = [F.col(c) for c in frame.columns]
+    out[position(docs.columns, "text")] = text
+    if "n_chars" in docs.columns:
+        out[position(docs.columns, "n_chars")] = F.when(short, F.length(text).cast("long")).otherwise(at["n_chars"])
+    return rows.select(*(c.alias(f"o_{i}") for i, c in enumerate(out))).toDF(*docs.columns)

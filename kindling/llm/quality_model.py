@@ -7,7 +7,7 @@ and a logistic curve fitted on rows held back turns margins into scores. Labels,
 source and doc_id are no inputs. All rows are scored, whole texts.
 
 Edge cases: a null or empty text has no indicators and gets the score of the intercept. A null
-doc_id is not held out. Without labels of both kinds every score is the share of good labels,
+doc_id is not held out. Very long texts are taken whole and weigh by all their indicators. Without labels of both kinds every score is the share of good labels,
 or 0.5 if there are none. Repeated rows get equal scores; an empty table gives an empty
 result. Extra columns are ignored.
 """
@@ -94,7 +94,6 @@ class Model:
         for i in fit:
             counts[int(y[i])][xs[i]] += 1
         ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-        # long and short texts weigh alike
         w, bias = dual_descent([xs[i] for i in fit], np.where(y[fit] > 0, 1.0, -1.0), ratio, COST, EPOCHS)
         self.weights, self.bias = (w * ratio).astype(np.float32), bias
         self.slope, self.shift = self._curve(np.array([self.margin(xs[i]) for i in np.flatnonzero(held)]), y[held])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast; its rows hold some 100 bytes at most.
 BROADCAST_ROWS = 500_000
+#: Rows of one key that a shuffle may always bring to a task.
+COOL_ROWS = 100
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,11 +48,9 @@ def counted_join(rows: DataFrame, side: DataFrame, keys: list[str], total: int,
 
     `total` is the count of `rows`. Keys that meet more than total / BROADCAST_ROWS rows are fewer than
     BROADCAST_ROWS by arithmetic: they are broadcast, and their rows stay where they are. The other
-    keys are joined by a shuffle that brings at most that many rows of one key to a task.
+    keys, and all that meet COOL_ROWS or fewer, are joined by a shuffle that brings at most that many rows of one key to a task.
     """
-    limit = total // BROADCAST_ROWS
-    if not limit:
-        return rows.join(F.broadcast(side), keys, how)  # no more keys than rows
+    limit = max(total // BROADCAST_ROWS, COOL_ROWS)
     values = [c for c in side.columns if c not in keys]
     hot = side.where(F.col(n) > limit).withColumn("_hot", F.lit(True))
     met = rows.join(F.broadcast(hot), keys, "left")

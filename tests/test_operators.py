@@ -74,8 +74,8 @@ def test_sieve_and_counted_join(spark, monkeypatch):
     out = shared.sieved(rows, F.xxhash64("k"), keys, F.xxhash64("k"))
     assert out.count() == 5000 and out.where("k % 3 = 0 and not maybe").isEmpty() and out.where("maybe").count() < 1800
     want = rows.join(keys, "k").count()
-    for bound in (500_000, 700):
-        monkeypatch.setattr(shared, "BROADCAST_ROWS", bound)
+    for cool in (100, 7, 0):
+        monkeypatch.setattr(shared, "COOL_ROWS", cool)
         assert shared.counted_join(rows, keys, ["k"], 5000).count() == want and shared.counted_join(rows, keys, ["k"], 5000, how="left").count() == 5000
 
 

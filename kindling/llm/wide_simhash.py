@@ -144,33 +144,42 @@ def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int) ->
     return both.where(9 * shared >= 4 * most).select("u", "v")  # shared / (most - shared) >= 4 / 5
 
 
-def _meet(members: DataFrame, near: Column) -> DataFrame:
-    """The pairs (u, v) of one block, of different roots and `near`; members are (key, n, node, root, w)."""
-    own = members.toDF("key", "n", "node", "root", "w").withColumn("last", F.floor((F.col("n") - 1) / TILE))
-    own = own.withColumn("tile", F.when(F.col("last") > 0, F.pmod(F.xxhash64("node"), F.col("last") + 1)).otherwise(F.lit(0)))
-    left = own.select("key", "tile", F.explode(F.sequence("tile", "last")).alias("other"), F.col("node").alias("u"), F.col("root").alias("r1"), F.col("w").alias("w1"))
-    right = own.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "tile")).alias("tile"), F.col("tile").alias("other"), F.col("node").alias("v"), F.col("root").alias("r2"), F.col("w").alias("w2"))
-    apart = ((F.col("u") < F.col("v")) | (F.col("tile") < F.col("other"))) & (F.col("r1") != F.col("r2"))
-    return left.join(right, ["key", "tile", "other"]).where(apart & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], near: Column) -> DataFrame:
+    """The pairs u < v of different roots that meet on the keys and are `near`."""
+    both = left.join(right, on).where((F.col("r1") != F.col("r2")) & near)
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _tiled(members: DataFrame, near: Column) -> DataFrame:
+    """_pairs of blocks (key, n, node, root, w), each dealt into tiles of about TILE members; every two tiles meet once."""
+    own = members.withColumn("last", F.floor((F.col("n") - 1) / TILE))
+    own = own.withColumn("tile", F.when(F.col("last") > 0, F.pmod(F.xxhash64("node"), F.col("last") + 1)).otherwise(F.lit(0)).cast("long"))
+    left = own.select("key", "tile", F.explode(F.sequence("tile", "last")).alias("other"), F.col("node").alias("u"), F.col("root").alias("r1"), F.col("wide").alias("w1"))
+    right = own.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "tile")).alias("tile"), F.col("tile").alias("other"), F.col("node").alias("v"), F.col("root").alias("r2"), F.col("wide").alias("w2"))
+    return _pairs(left, right, ["key", "tile", "other"], ((F.col("u") < F.col("v")) | (F.col("tile") < F.col("other"))) & near)
 
 
 def linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """node and root, the smallest node it is linked to, for every node (node, row, wide, keys) with a link; `texts` has row and text."""
     wide, rows = nodes.select("node", "wide"), nodes.select("node", "row")
-    listed = nodes.select(F.explode("keys").alias("key"), "node", F.slice("wide", 1, SKETCH).alias("s"))
-    low = listed.groupBy("key").agg(F.min(F.struct("node", "s")).alias("low")).select("key", F.col("low.node").alias("v"), F.col("low.s").alias("s2"))
-    met = listed.join(low, "key").withColumn("d", _differ("s", "s2", SKETCH))
+    own, other = ([f"{side}{i}" for i in range(SKETCH)] for side in "st")
+    sketch = [F.col("wide")[i].alias(c) for i, c in enumerate(own)]
+    apart = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(own, other)), F.lit(0))
+    listed = nodes.select(F.explode("keys").alias("key"), "node", *sketch)
+    low = listed.groupBy("key").agg(F.min(F.struct("node", *own)).alias("low")).select("key", F.col("low.node").alias("v"), *(F.col(f"low.{a}").alias(b) for a, b in zip(own, other)))
+    met = listed.join(low, "key").withColumn("d", apart)
     near = F.when((F.col("d") <= SKETCH_DISTANCE) & (F.col("v") != F.col("node")), F.struct("d", "v"))
     asked = met.groupBy("node").agg(F.sort_array(F.collect_set(near)).alias("near"))  # at most one for each block
     edges = _near(asked.select(F.col("node").alias("u"), F.explode(F.slice("near", 1, ASKED)["v"]).alias("v")), wide)
     edges = cut(alike(edges, rows, texts, shingle))
-    rooted = listed.join(graph.linked(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
-    mixed = cut(rooted.join(keys.where("a <> b").select("key", "n"), "key"))
-
-    sketch = _differ("w1", "w2", SKETCH) <= SKETCH_DISTANCE
-    few = _meet(mixed.where(F.col("n") <= CROWDED).select("key", "n", "node", "root", "s"), sketch)
-    many = _meet(mixed.where(F.col("n") > CROWDED).join(wide, "node").select("key", "n", "node", "root", "wide"), sketch & (_differ("w1", "w2", WORDS) <= DISTANCE))
+    roots = nodes.join(graph.linked(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = roots.select(F.explode("keys").alias("key"), "node", "root", *sketch)
+    crowded = blocks.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("n")).where(F.col("n") > CROWDED)
+    crowded = cut(crowded)
+    few = blocks.join(crowded, "key", "left_anti")
+    few = _pairs(few.toDF("key", "u", "r1", *own), few.toDF("key", "v", "r2", *other), ["key"], (F.col("u") < F.col("v")) & (apart <= SKETCH_DISTANCE))
+    many = roots.select(F.explode("keys").alias("key"), "node", "root", "wide").join(crowded.where("mixed").drop("mixed"), "key")
+    many = _tiled(many, (_differ("w1", "w2", SKETCH) <= SKETCH_DISTANCE) & (_differ("w1", "w2", WORDS) <= DISTANCE))
     return graph.linked(edges.unionByName(alike(_near(few, wide).unionByName(many), rows, texts, shingle)))
 
 

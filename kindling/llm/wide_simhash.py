@@ -13,7 +13,7 @@ What passes is a candidate. It is linked if the two sets of shingles, as 64-bit
 Jaccard similarity of 0.8 or more; texts of equal sets are one node.
 
 Groups of copies make no pairs of all their members. First each text is compared with the
-smallest of each of its blocks, and verified links merge into groups; that is linear. Blocks
+smallest of each of its blocks, and in crowded blocks with the member that stands in most company; verified links merge into groups. That is linear. Blocks
 whose members are all of one group are done. In the others only members of different groups
 meet, so no link that could join two groups is left out, and there is no cap. Blocks of more
 than CROWDED members carry whole fingerprints into the join, which makes both tests there. A large block is
@@ -144,6 +144,18 @@ def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int) ->
     return both.where(9 * shared >= 4 * most).select("u", "v")  # shared / (most - shared) >= 4 / 5
 
 
+def _hubs(members: DataFrame) -> DataFrame:
+    """The pairs (u, v) of each member of crowded blocks with ASKED hubs of them at most; members are (node, full, score), full the crowded blocks.
+
+    Copies of one text are nearer to it than to each other, so it stands in blocks with more of them than any copy does: the
+    hub of a block is the member whose crowded blocks hold most in all.
+    """
+    listed = members.where("score is not null").select("node", "score", F.explode("full").alias("key"))
+    hubs = listed.groupBy("key").agg(F.max(F.struct("score", "node")).alias("hub"))
+    best = listed.join(hubs, "key").where("node <> hub.node").groupBy("node").agg(F.sort_array(F.collect_set("hub"), asc=False).alias("hubs"))
+    return best.select(F.col("node").alias("u"), F.explode(F.slice("hubs", 1, ASKED)["node"]).alias("v"))
+
+
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], near: Column) -> DataFrame:
     """The pairs u < v of different roots that meet on the keys and are `near`."""
     both = left.join(right, on).where((F.col("r1") != F.col("r2")) & near)
@@ -166,12 +178,14 @@ def linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     sketch = [F.col("wide")[i].alias(c) for i, c in enumerate(own)]
     apart = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(own, other)), F.lit(0))
     listed = nodes.select(F.explode("keys").alias("key"), "node", *sketch)
-    low = listed.groupBy("key").agg(F.min(F.struct("node", *own)).alias("low")).select("key", F.col("low.node").alias("v"), *(F.col(f"low.{a}").alias(b) for a, b in zip(own, other)))
+    low = listed.groupBy("key").agg(F.min(F.struct("node", *own)).alias("low"), F.count("*").alias("n")).select("key", "n", F.col("low.node").alias("v"), *(F.col(f"low.{a}").alias(b) for a, b in zip(own, other)))
     met = listed.join(low, "key").withColumn("d", apart)
     near = F.when((F.col("d") <= SKETCH_DISTANCE) & (F.col("v") != F.col("node")), F.struct("d", "v"))
-    asked = met.groupBy("node").agg(F.sort_array(F.collect_set(near)).alias("near"))  # at most one for each block
-    edges = _near(asked.select(F.col("node").alias("u"), F.explode(F.slice("near", 1, ASKED)["v"]).alias("v")), wide)
-    edges = cut(alike(edges, rows, texts, shingle))
+    full = F.col("n") > CROWDED
+    asked = met.groupBy("node").agg(F.sort_array(F.collect_set(near)).alias("near"), F.collect_list(F.when(full, F.col("key"))).alias("full"), F.sum(F.when(full, F.col("n"))).alias("score"))  # at most one of each for each block
+    asked = cut(asked.where((F.size("near") > 0) | F.col("score").isNotNull()))
+    first = asked.select(F.col("node").alias("u"), F.explode(F.slice("near", 1, ASKED)["v"]).alias("v"))
+    edges = cut(alike(_near(first.unionByName(_hubs(asked)), wide), rows, texts, shingle))
     roots = nodes.join(graph.linked(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     blocks = roots.select(F.explode("keys").alias("key"), "node", "root", *sketch)
     crowded = blocks.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("n")).where(F.col("n") > CROWDED)

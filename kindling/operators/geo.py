@@ -1,5 +1,4 @@
-"""Joins in space: points are filed in cells at least one radius wide, and each looks into
-the nine cells around it."""
+"""Joins in space: points are filed in cells about one radius wide, and each looks into the cells that its circle reaches."""
 
 from __future__ import annotations
 
@@ -8,24 +7,86 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.functions.weather import haversine_km
+from kindling.functions.weather import EARTH_KM, haversine_km
+from kindling.operators.shared import cut
 
 
-def cells(lat: Column, lon: Column, km: float, max_lat: float = 60.0) -> tuple[Column, Column]:
-    """Row and column of a grid whose cells are `km` wide or wider up to the latitude max_lat."""
-    high = km / 110.0
-    return F.floor(lat / high), F.floor(lon / (high / math.cos(math.radians(max_lat))))
+def _width(row: Column, high: float) -> Column:
+    """Degrees of longitude of a cell in a row of cells `high` degrees high: wide enough at the row's far edge, an even part of the circle."""
+    edge = F.least(F.greatest(F.abs(row * high), F.abs((row + 1) * high)), F.lit(90.0))
+    return 360.0 / F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / high))
+
 
+def within_radius(left: DataFrame, right: DataFrame, km: float, left_at=("lat", "lon"), right_at=("lat", "lon"), time: tuple[str, str, int] | None = None) -> DataFrame:
+    """All pairs at `km` or less, with distance_km; columns of `right` get r_.
 
-def within_radius(left: DataFrame, right: DataFrame, km: float, left_at=("lat", "lon"), right_at=("lat", "lon")) -> DataFrame:
-    """All pairs at `km` or less, with distance_km; columns of `right` get r_."""
+    `time` (left column, right column, most) asks also for integer times that differ by `most` at most. A point of `right`
+    stands in one cell; one of `left` looks into the cells that its circle can reach, at any latitude and over the date line.
+    """
+    high = km / 110.0
+    right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    lat, lon = F.col(left_at[0]), F.col(left_at[1])
+    reach = F.least(F.abs(lat) + km / 110.0, F.lit(90.0))
+    span = F.when(reach >= 89.9, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(km / EARTH_KM) / F.cos(F.radians(reach)))))) * 1.0001
+    rows = F.floor(lat / high)
+    near = left.withColumn("_y", F.explode(F.array(rows - 1, rows, rows + 1)))
+    w = _width(F.col("_y"), high)
+    near = near.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(F.floor((lon + 180 - span) / w), F.floor((lon + 180 + span) / w)), lambda x: F.pmod(x, F.round(360 / w).cast("long"))))))
+    r_lat, r_lon = F.col(f"r_{right_at[0]}"), F.col(f"r_{right_at[1]}")
+    filed = right.withColumn("_y", F.floor(r_lat / high))
+    w = _width(F.col("_y"), high)
+    filed = filed.withColumn("_x", F.pmod(F.floor((r_lon + 180) / w), F.round(360 / w).cast("long")))
+    keys, ok = ["_y", "_x"], F.lit(True)
+    if time:
+        a, b, most = F.col(time[0]), F.col(f"r_{time[1]}"), max(1, time[2])
+        near = near.withColumn("_t", F.explode(F.array(*(F.floor(a / most) + d for d in (-1, 0, 1)))))
+        filed, keys, ok = filed.withColumn("_t", F.floor(b / most)), [*keys, "_t"], F.abs(a - b) <= time[2]
+    pairs = near.join(filed, keys).where(ok).drop(*keys)
+    return pairs.withColumn("distance_km", haversine_km(lat, lon, r_lat, r_lon)).where(F.col("distance_km") <= km)
+
+
+def within_degrees(left: DataFrame, right: DataFrame, cap: float) -> DataFrame:
+    """All pairs whose lat and lon lie `cap` planar degrees apart or less, with distance; columns of `right` get r_."""
     right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    row, col = cells(F.col(left_at[0]), F.col(left_at[1]), km)
-    near = left.withColumn("_y", F.explode(F.array(row - 1, row, row + 1))).withColumn("_x", F.explode(F.array(col - 1, col, col + 1)))
-    row, col = cells(F.col(f"r_{right_at[0]}"), F.col(f"r_{right_at[1]}"), km)
-    pairs = near.join(right.withColumn("_y", row).withColumn("_x", col), ["_y", "_x"]).drop("_y", "_x")
-    far = haversine_km(F.col(left_at[0]), F.col(left_at[1]), F.col(f"r_{right_at[0]}"), F.col(f"r_{right_at[1]}"))
-    return pairs.withColumn("distance_km", far).where(F.col("distance_km") <= km)
+    y, x = F.floor(F.col("lat") / cap), F.floor(F.col("lon") / cap)
+    near = left.withColumn("_y", F.explode(F.array(y - 1, y, y + 1))).withColumn("_x", F.explode(F.array(x - 1, x, x + 1)))
+    pairs = near.join(right.withColumn("_y", F.floor(F.col("r_lat") / cap)).withColumn("_x", F.floor(F.col("r_lon") / cap)), ["_y", "_x"]).drop("_y", "_x")
+    return pairs.withColumn("distance", F.sqrt(F.pow(F.col("lat") - F.col("r_lat"), 2) + F.pow(F.col("lon") - F.col("r_lon"), 2))).where(F.col("distance") <= cap)
+
+
+def nearest_cell(points: DataFrame, cells: DataFrame, key: str, cell: str, start: float = 0.1, widest: float = 360.0) -> DataFrame:
+    """key, its nearest cell by planar degrees (ties by cell) and the distance, no farther than `widest`.
+
+    The search widens fourfold for points that have found none; each round is written.
+    """
+    found, cap, left = None, start, points
+    while True:
+        pairs = within_degrees(left, cells, cap)
+        best = cut(pairs.groupBy(key).agg(F.min(F.struct(F.round("distance", 9).alias("d"), F.col(f"r_{cell}").alias("c"), "distance")).alias("x")).select(key, F.col("x.c").alias(cell), F.col("x.distance").alias("distance")))
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best.select(key), key, "left_anti")
+        if cap >= widest or left.isEmpty():
+            return found
+        cap = min(widest, 4 * cap)
+
+
+def k_nearest(left: DataFrame, right: DataFrame, key: str, other: str, k: int, km: float) -> DataFrame:
+    """The k rows of `right` nearest to each row of `left`, however far, as within_radius gives them, with place 1 to k.
+
+    Rows that have fewer than k within `km` look four times as far, until all have k or half the globe is searched. Ties by `other`.
+    """
+    found, rest = None, left
+    while True:
+        pairs = within_radius(rest, right, km).withColumn("_r", F.round("distance_km", 9))
+        by = Window.partitionBy(key).orderBy("_r", f"r_{other}")
+        near = cut(pairs.withColumn("place", F.row_number().over(by)).withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("place") <= k).drop("_r"))
+        last = km >= 20_100.0
+        done = near if last else near.where(F.col("_n") >= k)
+        found = done if found is None else found.unionByName(done)
+        rest = rest.join(done.select(key).distinct(), key, "left_anti")
+        if last or rest.isEmpty():
+            return found.drop("_n")
+        km = min(20_100.0, 4 * km)
 
 
 def nearest(pairs: DataFrame, row: str, other: str, k: int) -> DataFrame:

@@ -197,12 +197,12 @@ def radius_neighbor_counts(spark, sf_dir):
     return full.select("c_custkey", "near", "other_segment", r((F.col("good") + 0.5) / (F.col("other_segment") + 1)).alias("rate"))
 
 
-@query(f"""WITH p AS (SELECT c_custkey, s_acctbal, s_suppkey, {CS} AS km FROM {C} c, {S} s WHERE {CS} <= 60 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY round({CS}, 9), s_suppkey) <= 4),
+@query(f"""WITH p AS (SELECT c_custkey, s_acctbal, s_suppkey, {CS} AS km FROM {C} c, {S} s QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY round({CS}, 9), s_suppkey) <= 8),
 w AS (SELECT *, 1 / pow(greatest(km, 1e-6), 2) AS w FROM p) SELECT c_custkey, round(sum(w * s_acctbal) / sum(w), 2) AS value, round(sum(w) * sum(w) / sum(w * w), 4) AS stations FROM w GROUP BY c_custkey""")
 def knn_idw(spark, sf_dir):
+    """The eight nearest stations of each place, however far, weighted by inverse square distance."""
     c, s = _places(spark, sf_dir)
-    pairs = geo.within_radius(c.select("c_custkey", "lat", "lon"), s, 60.0).withColumn("exact", F.col("distance_km")).withColumn("distance_km", r(F.col("distance_km"), 9))
-    near = geo.nearest(pairs, "c_custkey", "r_s_suppkey", 4).withColumn("distance_km", F.col("exact"))
+    near = geo.k_nearest(c.select("c_custkey", "lat", "lon"), s, "c_custkey", "s_suppkey", 8, 60.0)
     return geo.inverse_distance(near, "c_custkey", "r_s_acctbal").select("c_custkey", r(F.col("value"), 2).alias("value"), r(F.col("stations"), 4).alias("stations"))
 
 

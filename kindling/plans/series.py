@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindling.functions.times import HOUR, hour_half_even, season_year
+from kindling.functions.weather import equilibrium_moisture
 from kindling.operators import folds, tables, temporal
 from kindling.plans.common import events, r, registry, table
 
@@ -136,7 +137,7 @@ FROM (SELECT f.*, d.user_id AS u, d.n AS m, greatest(0, f.k - greatest(0, d.p /
 SELECT user_id, day, round(k * 0.254::DOUBLE, 4) AS kbdi_mm, n > 10 AS valid FROM f WHERE n > 0""")
 def kbdi_fold(spark, sf_dir):
     days = _daily(spark, sf_dir).select("user_id", "day", F.least(F.col("top") / 5, F.lit(45.0)).alias("t"), (F.col("mean") / 5).alias("p"))
-    out = folds.fold(days, ["user_id"], "day", ["t", "p"], F.lit(0.0), folds.drought_step(1000.0, "t", "p"), "k")
+    out = folds.fold(days, ["user_id"], ["day"], ["t", "p"], (0.0,), folds.drought(1000.0), ["k"])
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("day"))
     return out.select("user_id", "day", r(F.col("k") * 0.254, 4).alias("kbdi_mm"), (place > 10).alias("valid"))  # a spin-up of 10 days
 
@@ -155,9 +156,9 @@ SELECT event_id, round(k, 5) AS fm FROM f WHERE n > 0"""
 
 def _moisture(spark, sf_dir, rain):
     rows = events(spark, sf_dir).select(
-        "user_id", "event_id", F.least(F.col("value") / 10, F.lit(40.0)).alias("t"), F.get_json_object("props", "$.k").cast("double").alias("h"), F.when(F.col("event_type") == "purchase", F.col("value") / 50).otherwise(0.0).alias("p")
+        "user_id", "event_id", equilibrium_moisture(F.least(F.col("value") / 10, F.lit(40.0)), F.get_json_object("props", "$.k").cast("double")).alias("q"), F.when(F.col("event_type") == "purchase", F.col("value") / 50).otherwise(0.0).alias("p")
     )
-    out = folds.fold(rows, ["user_id"], "event_id", ["t", "h", "p"], F.lit(10.0), folds.moisture_step("t", "h", "p" if rain else None), "k")
+    out = folds.fold(rows, ["user_id"], ["event_id"], ["q", "p"], (10.0,), folds.moisture((30.0, 2.0) if rain else None), ["k"])
     return out.select("event_id", r(F.col("k"), 5).alias("fm"))
 
 

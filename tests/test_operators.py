@@ -33,7 +33,7 @@ def test_score_renormalises(spark):
 
 def test_drought_without_rain_rises(spark):
     df = spark.range(5).select(F.lit(1).alias("k"), F.col("id").alias("d"), F.lit(30.0).alias("t"), F.lit(0.0).alias("p"))
-    got = [r.s for r in folds.fold(df, ["k"], "d", ["t", "p"], F.lit(0.0), folds.drought_step(1000.0, "t", "p"), "s").orderBy("d").collect()]
+    got = [r.s for r in folds.fold(df, ["k"], ["d"], ["t", "p"], (0.0,), folds.drought(1000.0), ["s"]).orderBy("d").collect()]
     assert got == sorted(got) and 0 < got[0] < got[-1] < 800
 
 

@@ -60,3 +60,13 @@ def season_year(day: Column, month: int = 3) -> Column:
 
 def episode(day: Column, days: int = 14, origin: str = "2000-01-01") -> Column:
     return F.floor(F.datediff(day, F.lit(origin).cast("date")) / days).cast("long")
+
+
+def turn(day: Column, length: float, first: int) -> Column:
+    """The day's place on a circle of `length` days, the first of January at (1 - first) of them."""
+    return 2 * math.pi * (F.dayofyear(day) - first) / length
+
+
+def month_dummies(day: Column) -> dict[int, Column]:
+    """0 or 1 for each month from February on."""
+    return {m: (F.month(day) == m).cast("int") for m in range(2, 13)}

@@ -102,3 +102,15 @@ def precip_mm(value: Column, unit: Column) -> Column:
         .when(unit.isin("in", "inch"), value * 25.4)
         .otherwise(F.raise_error(F.concat(F.lit("precipitation unit: "), F.coalesce(unit, F.lit("none")))).cast("double"))
     )
+
+
+# Fixed value: the share of the wind at ten metres that fires meet
+FIRE_WIND = 0.8
+
+
+def wind_speed(u: Column, v: Column) -> Column:
+    return F.hypot(u, v)
+
+
+def aspect_degrees(sine: Column, cosine: Column) -> Column:
+    return F.pmod(F.degrees(F.atan2(sine, cosine)) + 360.0, F.lit(360.0))

@@ -80,3 +80,22 @@ def log_factorial(n: Column) -> Column:
 def gate(name: str, ok: Column, value: Column, limit: float) -> Column:
     status = F.when(value.isNull(), "deferred").when(ok, "pass").otherwise("fail")
     return F.struct(F.lit(name).alias("gate"), status.alias("status"), value.cast("double").alias("value"), F.lit(float(limit)).alias("limit"))
+
+
+def strictly_rising(values: Column, gap: float = 1e-6) -> Column:
+    """An array of thresholds, each at least `gap` above the one before."""
+    return F.aggregate(values, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.when(F.size(a) > 0, F.greatest(x, F.element_at(a, -1) + gap)).otherwise(x))))  # a handful
+
+
+def category_report(df: DataFrame, group: str, actual: str, pred: str, classes: int) -> DataFrame:
+    """A row per group: n, macro_f1, weighted_f1, elevated_recall, false_alarms, over_one, critical_recall and supported, from one count per cell."""
+    hits = df.groupBy(group, actual, pred).agg(F.count("*").alias("n"))
+    a, p, n = F.col(actual), F.col(pred), F.col("n")
+    total = lambda ok: F.coalesce(F.sum(F.when(ok, n)), F.lit(0))
+    f1 = [F.coalesce(F.try_divide(2 * total((a == k) & (p == k)), total(a == k) + total(p == k)), F.lit(0.0)) for k in range(classes)]
+    weighted = sum((total(a == k) * f for k, f in enumerate(f1)), F.lit(0.0)) / F.sum(n)
+    share = lambda top, low: F.try_divide(total(top & low), total(low))
+    return hits.groupBy(group).agg(
+        F.sum(n).alias("n"), (sum(f1, F.lit(0.0)) / classes).alias("macro_f1"), weighted.alias("weighted_f1"), share(p >= 2, a >= 2).alias("elevated_recall"), share(a < 2, p >= 2).alias("false_alarms"),
+        (total(F.abs(a - p) > 1) / F.sum(n)).alias("over_one"), share(p >= 3, a >= 3).alias("critical_recall"), (total(a >= 2) >= 100).alias("supported"),
+    )

@@ -54,3 +54,12 @@ def chronological(df: DataFrame, run: str, at: str, share: float = 0.8) -> DataF
     runs = df.groupBy(run).agg(F.min(at).alias("_t"))
     place, n = F.row_number().over(Window.orderBy("_t", run)), F.count("*").over(Window.partitionBy(F.lit(0)))
     return runs.select(run, F.when(place <= F.greatest(F.lit(1), F.floor(n * share)), "development").otherwise("holdout").alias("side"))
+
+
+def shares(runs: DataFrame, run: str, sides: list[tuple[str, float]]) -> DataFrame:
+    """Distinct runs with side, place k and number n; sides are (name, share up to and with it), in order of the runs."""
+    x = runs.withColumn("k", F.row_number().over(Window.orderBy(run))).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    side = F.when(F.lit(False), F.lit(""))
+    for name, upto in sides:
+        side = side.when(F.col("k") <= F.floor(F.col("n") * upto), name)
+    return x.withColumn("side", side.otherwise(sides[-1][0]))

@@ -77,3 +77,20 @@ def first_reason(checks: dict[str, Column], dedup_keys: list[str], order: list[s
         out = out.when(F.coalesce(fails, F.lit(False)), name)
     again = F.row_number().over(Window.partitionBy(*dedup_keys).orderBy(*order)) > 1
     return out.when(again, "duplicate").otherwise("ok")
+
+
+def finite(x: Column) -> Column:
+    """x, or null where it is infinite or no number."""
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def partial_update(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """`old` with the values of `new` where they aren't null; keys only in `new` are ignored. `new` has each key once."""
+    values = [c for c in old.columns if c not in keys]
+    both = old.join(new.select(*keys, *(F.col(c).alias(f"_{c}") for c in values if c in new.columns)), keys, "left")
+    return both.select(*keys, *(F.coalesce(f"_{c}", c).alias(c) if c in new.columns else F.col(c) for c in values)).select(*old.columns)
+
+
+def replace(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """All of `new`, and the rows of `old` whose keys it doesn't have."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

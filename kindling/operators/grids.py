@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +52,71 @@ def antecedent(grid: DataFrame, day: str, days: int, keys: list[str]) -> DataFra
     past = grid.select(*keys, "row", "col", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("_d"), F.col(day).alias("_at"), F.col("value").alias("_v"))
     past = past.groupBy(*keys, "row", "col", (F.col("_at") + F.col("_d")).alias(day)).agg(F.sum("_v").alias("antecedent"))
     return grid.join(past, [*keys, "row", "col", day], "left").na.fill(0.0, ["antecedent"])
+
+
+def reflected(at: Column, n: int) -> Column:
+    """A place on an axis of n cells whose ends mirror: the cell before the first is the first."""
+    return F.when(at < 0, -1 - at).when(at >= n, 2 * n - 1 - at).otherwise(at)
+
+
+def smoothed(grid: DataFrame, sigma: float, shape: tuple[int, int], keys: list[str], fill_mean: bool = False) -> DataFrame:
+    """grid with `smoothed`: a Gaussian cut at four sigma over mirrored edges; shape is at least that far.
+
+    Cells without a value take no part, or with `fill_mean` the mean of their grid; in that case they stay null themselves.
+    """
+    own = grid
+    if fill_mean:
+        means = grid.groupBy(*keys).agg(F.avg("value").alias("_m"))
+        own = grid.join(means, keys).withColumn("value", F.coalesce("value", "_m")).drop("_m")
+    shifts = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(w).alias("w")) for y, x, w in gauss(sigma, int(4 * sigma + 0.5))))
+    looks = grid.select(*keys, "row", "col", F.explode(shifts).alias("o"))
+    looks = looks.select(*keys, "row", "col", "o.w", reflected(F.col("row") + F.col("o.y"), shape[0]).alias("_y"), reflected(F.col("col") + F.col("o.x"), shape[1]).alias("_x"))
+    looks = looks.groupBy(*keys, "row", "col", "_y", "_x").agg(F.sum("w").alias("w"))
+    met = looks.join(own.where("value is not null").select(*keys, F.col("row").alias("_y"), F.col("col").alias("_x"), "value"), [*keys, "_y", "_x"])
+    sums = met.groupBy(*keys, "row", "col").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("smoothed"))
+    out = grid.join(sums, [*keys, "row", "col"], "left")
+    return out.withColumn("smoothed", F.when(F.col("value").isNotNull(), F.col("smoothed"))) if fill_mean else out
+
+
+def triangle_weights(points: DataFrame) -> DataFrame:
+    """dst, row, col and w: the corners of the triangle that holds each point (dst, y, x) on a grid of unit cells, each cut along its rising diagonal."""
+    y0, x0 = F.floor("y"), F.floor("x")
+    fy, fx = F.col("y") - y0, F.col("x") - x0
+    corner = lambda dy, dx, w: F.struct((y0 + dy).cast("int").alias("row"), (x0 + dx).cast("int").alias("col"), w.alias("w"))
+    low = F.array(corner(0, 0, 1 - fx), corner(0, 1, fx - fy), corner(1, 1, fy))
+    high = F.array(corner(0, 0, 1 - fy), corner(1, 0, fy - fx), corner(1, 1, fx))
+    return points.select("dst", F.explode(F.when(fx >= fy, low).otherwise(high)).alias("c")).select("dst", "c.*").where("w > 0")
+
+
+def regridded(grid: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, dst and value at each target; null where a corner with weight is null or outside."""
+    need = weights.groupBy("dst").agg(F.count("*").alias("_n"))
+    met = grid.where("value is not null").join(weights, ["row", "col"]).groupBy(*keys, "dst").agg(F.sum(F.col("w") * F.col("value")).alias("v"), F.count("*").alias("_got"))
+    all_targets = grid.select(*keys).distinct().join(F.broadcast(need))  # the targets of one grid, for each key
+    return all_targets.join(met, [*keys, "dst"], "left").select(*keys, "dst", F.when(F.col("_got") == F.col("_n"), F.col("v")).alias("value"))
+
+
+def cropped(grid: DataFrame, mask: Column, keys: list[str]) -> DataFrame:
+    """The rows and columns between the first and last cells that `mask` holds for."""
+    box = grid.where(mask).groupBy(*keys).agg(*(f(c).alias(f"_{n}{c}") for c in ("row", "col") for n, f in (("a", F.min), ("b", F.max))))
+    return grid.join(box, keys).where("row between _arow and _brow and col between _acol and _bcol").select(*grid.columns)
+
+
+def terrain(grid: DataFrame, dy: float, dx: float, keys: list[str]) -> DataFrame:
+    """slope and aspect of each cell: central differences inside, one-sided at the edges."""
+
+    def slope_of(axis: str, other: str, step: float) -> Column:
+        by = Window.partitionBy(*keys, other).orderBy(axis)
+        a, b, v = F.lag("value").over(by), F.lead("value").over(by), F.col("value")
+        return F.when(a.isNull(), (b - v) / step).when(b.isNull(), (v - a) / step).otherwise((b - a) / (2 * step))
+
+    g = grid.withColumn("_dy", slope_of("row", "col", dy)).withColumn("_dx", slope_of("col", "row", dx))
+    return g.withColumns({"slope": F.degrees(F.atan(F.hypot("_dx", "_dy"))), "aspect": F.atan2(-F.col("_dx"), F.col("_dy"))}).drop("_dy", "_dx")
+
+
+def complete_sequences(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """keys and `steps`, the values in order, of groups as long as most are (the longer of equal) and without a null."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(reduce(or_, (F.col(v).isNull() for v in values))).alias("_void"))
+    usual = sizes.groupBy("_n").agg(F.count("*").alias("_c")).agg(F.max(F.struct("_c", "_n"))["_n"].alias("_usual"))
+    good = sizes.join(F.broadcast(usual)).where("_n = _usual and _void = 0").select(*keys)  # one row
+    return df.join(good, keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *values))).alias("steps"))

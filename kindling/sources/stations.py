@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindling.functions.times import hour_half_even
+
 #: First name present wins.
 ALIASES = {"fm": ["fuel_moisture_set_1", "fuel_moisture"], "rh": ["relative_humidity_set_1", "relative_humidity"], "wind": ["wind_speed_set_1", "wind_speed"]}
 STATION = "array<struct<STID:string,STATE:string,LATITUDE:string,LONGITUDE:string,OBSERVATIONS:map<string,array<string>>>>"
@@ -45,6 +47,57 @@ def index_ranges(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return block.groupBy("file", "block").agg(F.min("first").alias("first"), F.when(F.count("last") == F.count("*"), F.max("last")).alias("last"), F.count("*").alias("messages")).drop("block")
 
 
+def typed_csv(spark: SparkSession, path: str, schema: str, manifest: dict[str, str] | None = None) -> DataFrame:
+    """CSV with a header by a given schema. With a manifest of checksums by file name, other or changed files are refused."""
+    if manifest is not None:
+        verify(spark, f"{path}/*.csv", manifest)
+    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", enforceSchema=False)
+
+
+def verify(spark: SparkSession, path: str, manifest: dict[str, str]) -> None:
+    """Fails unless the files are those of the manifest, byte for byte."""
+    seen = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in checksum(spark, path).collect()}  # a manifest's files
+    if wrong := sorted(n for n in seen.keys() | manifest.keys() if seen.get(n) != manifest.get(n)):
+        raise ValueError(f"files and manifest differ: {', '.join(wrong)}")
+
+
+def forecast_json(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """A row per station and forecast of files {run_date, stations: {id: {lat, lon, forecasts: [{...}]}}}; files that don't parse are skipped."""
+    kind = f"run_date STRING, stations MAP<STRING, STRUCT<lat: DOUBLE, lon: DOUBLE, forecasts: ARRAY<STRUCT<{fields}>>>>"
+    j = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("j")).where("j.stations is not null")
+    s = j.select("j.run_date", F.explode("j.stations").alias("stid", "s")).select("run_date", "stid", "s.lat", "s.lon", F.explode("s.forecasts").alias("f"))
+    return s.select("run_date", "stid", "lat", "lon", "f.*")
+
+
+def observations_json(spark: SparkSession, path: str) -> DataFrame:
+    """stid, hour, temp_c and n from files whose root is a list of observations, one of them, or a map from station to list; Fahrenheit is told by its unit.
+
+    Times are rounded to the hour, halves to the even one, and values averaged by it.
+    """
+    one = "STRUCT<stid: STRING, time: STRING, temp: DOUBLE, unit: STRING>"
+    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v")).select("v", F.from_json("v", f"MAP<STRING, ARRAY<{one}>>").alias("m"))
+    root = F.when(F.startswith("v", F.lit("[")), F.from_json("v", f"ARRAY<{one}>")).when(F.get_json_object("v", "$.stid").isNotNull(), F.array(F.from_json("v", one)))
+    listed = raw.withColumn("root", root)
+    flat = listed.where("root is not null").select(F.explode("root").alias("o")).select("o.*")
+    keyed = listed.where("root is null and m is not null").select(F.explode("m").alias("id", "list")).select("id", F.explode("list").alias("o")).select(F.coalesce("o.stid", "id").alias("stid"), "o.time", "o.temp", "o.unit")
+    rows = flat.unionByName(keyed).withColumn("at", F.try_to_timestamp("time")).where("at is not null")
+    temp = F.when(F.col("unit") == "F", (F.col("temp") - 32) * 5 / 9).otherwise(F.col("temp"))
+    return rows.groupBy("stid", hour_half_even(F.col("at")).alias("hour")).agg(F.avg(temp).alias("temp_c"), F.count("*").alias("n"))
+
+
+def discovered(spark: SparkSession, path: str, pattern: str, group: int = 1) -> DataFrame:
+    """path, bytes and the part of each file's name that the pattern finds; files without it are left out."""
+    listing = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return listing.withColumn("found", F.nullif(F.regexp_extract(name, pattern, group), F.lit(""))).where("found is not null")
+
+
+def lead_problems(df: DataFrame, run: str, lead: str, value: str, first: int, last: int) -> DataFrame:
+    """Per run: whether anything is finite, whether its leads cover first to last, and whether an amount is negative."""
+    fine = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    return df.groupBy(run).agg(F.bool_or(fine).alias("finite"), ((F.min(lead) <= first) & (F.max(lead) >= last)).alias("covered"), F.coalesce(F.bool_or(F.col(value) < 0), F.lit(False)).alias("negative"))
+
+
 def checksum(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 

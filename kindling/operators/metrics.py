@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindling.operators.ranks import running
+from kindling.operators.shared import cut
+
 
 def regression(pred: str, actual: str) -> list[Column]:
     """n, mae, rmse, bias, r and r2 of one group."""
@@ -46,13 +49,9 @@ def reliability(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
 
 
 def ranked(df: DataFrame, score: str, y: str) -> DataFrame:
-    """Distinct scores, best first, with running counts of positives and of rows.
-
-    Windows run over distinct scores, not rows; scores should be rounded first where they are many.
-    """
+    """Distinct scores, best first, with running counts of positives and of rows."""
     levels = df.groupBy(score).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    upto = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return levels.select(score, "pos", "n", F.sum("pos").over(upto).alias("tp"), F.sum("n").over(upto).alias("seen"))
+    return cut(running(levels, [], [F.desc(score)], {"tp": F.col("pos"), "seen": F.col("n")}))
 
 
 def auc_and_ap(df: DataFrame, score: str, y: str) -> DataFrame:
@@ -67,11 +66,6 @@ def auc_and_ap(df: DataFrame, score: str, y: str) -> DataFrame:
     return one.select(F.try_divide(F.col("u"), F.col("all_pos") * (F.col("all_n") - F.col("all_pos"))).alias("auc"), F.try_divide(F.col("s"), F.col("all_pos")).alias("ap"))
 
 
-def higher_quantile(values: Column, q: float) -> Column:
-    """The smallest value with at least the share q of the gaps at or below it."""
-    return F.element_at(F.sort_array(values), (F.ceil((F.size(values) - 1) * q) + 1).cast("int"))
-
-
 def log_factorial(n: Column) -> Column:
     """ln(n!) of small counts."""
     return F.aggregate(F.sequence(F.lit(0), n.cast("int")), F.lit(0.0), lambda a, k: a + F.when(k > 1, F.log(k.cast("double"))).otherwise(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindling.operators.ranks import quantiles
+
 
 def blocks(df: DataFrame, unit: str, n: int) -> DataFrame:
     """unit and its block, 0 to n - 1, in order; larger blocks first."""
@@ -43,7 +45,7 @@ def char_sum_held(name: Column, every: int = 5) -> Column:
 
 def time_holdout(df: DataFrame, group: str, at: str, share: float) -> DataFrame:
     """group and its side: test if all of it lies after the cut, train if all before; straddlers are dropped."""
-    cut = df.agg(F.percentile(at, F.lit(1 - share)).alias("_cut"))
+    cut = quantiles(df, [], at, {"_cut": (1 - share, "linear")})
     spans = df.groupBy(group).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
     side = F.when(F.col("_b") < F.col("_cut"), "train").when(F.col("_a") >= F.col("_cut"), "test").otherwise("dropped")
     return spans.join(F.broadcast(cut)).select(group, side.alias("side"))  # one row

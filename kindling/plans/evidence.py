@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindling.functions import scores, times
-from kindling.operators import grids, metrics, splits
+from kindling.operators import grids, metrics, ranks, splits
 from kindling.plans.common import r, registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -127,10 +127,14 @@ def _pair(spark, sf_dir):
 @query(f"""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(abs(pred - actual)), 6) AS mae, round(sqrt(avg((pred - actual) * (pred - actual))), 6) AS rmse, round(avg(pred - actual), 6) AS bias, round(corr(pred, actual), 6) AS r,
 round(1 - sum((pred - actual) * (pred - actual)) / (var_pop(actual) * count(*)), 6) AS r2, round(quantile_cont(abs(pred - actual), 0.9), 6) AS p90, round(avg((abs(pred - actual) > 5)::INT), 6) AS over5 FROM ({PAIR}) GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ()) HAVING count(*) >= 100""")
 def regression_metrics_by_group(spark, sf_dir):
+    """Errors by flag, by status and overall; the exact p90 comes from ranks, so that no group's errors meet in one task."""
     e = F.abs(F.col("pred") - F.col("actual"))
-    own = metrics.regression("pred", "actual") + [F.percentile(e, F.lit(0.9)).alias("p90"), F.avg((e > 5).cast("double")).alias("over5")]
-    rows = _pair(spark, sf_dir).groupingSets([["l_returnflag"], ["l_linestatus"], []], "l_returnflag", "l_linestatus").agg(*own).where("n >= 100")
-    return rows.select("l_returnflag", "l_linestatus", "n", *(r(F.col(c)).alias(c) for c in ("mae", "rmse", "bias", "r", "r2", "p90", "over5")))
+    own = metrics.regression("pred", "actual") + [F.avg((e > 5).cast("double")).alias("over5")]
+    kinds = ["l_returnflag", "l_linestatus"]
+    rows = _pair(spark, sf_dir).groupingSets([[kinds[0]], [kinds[1]], []], *kinds).agg(*own).where("n >= 100").withColumn("key", F.coalesce(*(F.concat(F.lit(f"{k}="), k) for k in kinds), F.lit("all")))
+    keyed = _pair(spark, sf_dir).select(e.alias("e"), F.explode(F.array(*(F.concat(F.lit(f"{k}="), k) for k in kinds), F.lit("all"))).alias("key"))
+    p90 = ranks.quantiles(keyed, ["key"], "e", {"p90": (0.9, "linear")})
+    return rows.join(p90, "key").select(*kinds, "n", *(r(F.col(c)).alias(c) for c in ("mae", "rmse", "bias", "r", "r2", "p90", "over5")))
 
 
 CLASSED = "SELECT CAST(least(4, floor(l_quantity / 10.2::DOUBLE)) AS INT) AS a, CAST(least(4, floor((l_quantity + l_tax * 100) / 11.7::DOUBLE)) AS INT) AS p FROM lineitem"
@@ -192,9 +196,8 @@ def csi_threshold_search(spark, sf_dir):
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.8), 6) AS linear80, round(list_sort(list(value))[CAST(ceil((count(*) - 1) * 0.8) AS BIGINT) + 1], 6) AS higher80, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY event_type""")
 def quantile_linear_higher(spark, sf_dir):
-    v = F.col("value")
-    # calibration sets of the higher method are one residual per case; the groups here are of that kind
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(r(F.percentile(v, F.lit(0.8))).alias("linear80"), r(metrics.higher_quantile(F.collect_list(v), 0.8)).alias("higher80"), r(F.median(v)).alias("median"))
+    q = ranks.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"linear80": (0.8, "linear"), "higher80": (0.8, "higher"), "median": (0.5, "linear")})
+    return q.select("event_type", *(r(F.col(c)).alias(c) for c in ("linear80", "higher80", "median")))
 
 
 @query(f"""WITH x AS ({CLASSED}), q AS (SELECT a, median(p) AS m FROM x GROUP BY a), c AS (SELECT CAST(k AS INT) AS a, coalesce(m, k) AS m FROM range(0, 5) t(k) LEFT JOIN q ON q.a = k), d AS (SELECT a, max(m) OVER (ORDER BY a) AS m FROM c)
@@ -220,8 +223,9 @@ def poisson_scores(spark, sf_dir):
 SELECT CAST(tile AS INT) AS tile, count(*) AS n, round(avg(y) - avg(lam), 6) AS gap FROM t GROUP BY tile""")
 def decile_gaps(spark, sf_dir):
     d = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("y"), F.avg("value").alias("lam"))
-    tiles = d.withColumn("tile", F.ntile(10).over(Window.orderBy("lam", "user_id", "day")))
-    return tiles.groupBy("tile").agg(F.count("*").alias("n"), r(F.avg("y") - F.avg("lam")).alias("gap"))
+    d = ranks.ranked(d, [], [F.col("lam"), F.col("user_id"), F.col("day")])
+    tiles = d.join(F.broadcast(d.agg(F.max("rank").alias("rows"))))  # one row
+    return tiles.groupBy(ranks.tile(F.col("rank"), F.col("rows"), 10).alias("tile")).agg(F.count("*").alias("n"), r(F.avg("y") - F.avg("lam")).alias("gap"))
 
 
 @query("""WITH c AS (SELECT n_nationkey, 100.0::DOUBLE + n_nationkey * 10 AS area, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY ALL) ON c_nationkey = n_nationkey), t AS (SELECT sum(n) / sum(area * 30) AS rate FROM c)
@@ -258,10 +262,17 @@ SELECT b.grp, round(bias, 6) AS bias, round(0.5::DOUBLE + 0.05::DOUBLE * min(k)
 def interval_scale_search(spark, sf_dir):
     """Median bias, and the least width factor that covers four in five."""
     x = _pair(spark, sf_dir).select(F.col("l_returnflag").alias("grp"), (F.col("pred") - F.col("actual")).alias("e"), (1 + F.col("l_tax") * 50).alias("w"))
-    b = x.groupBy("grp").agg(F.median("e").alias("bias"))
-    tried = x.join(F.broadcast(b), "grp").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(110))))  # one row per group of a fixed dimension
-    cover = tried.groupBy("grp", "bias", "k").agg(F.avg((F.abs(F.col("e") - F.col("bias")) <= F.col("w") * (0.5 + 0.05 * F.col("k"))).cast("double")).alias("cover"))
-    return cover.groupBy("grp", "bias").agg((0.5 + 0.05 * F.min(F.when(F.col("cover") >= 0.8, F.col("k")))).alias("scale")).select("grp", r(F.col("bias")).alias("bias"), r(F.col("scale"), 4).alias("scale"))
+    b = ranks.quantiles(x, ["grp"], "e", {"bias": (0.5, "linear")})
+    off = F.abs(F.col("e") - F.col("bias"))
+    wide = lambda k: F.col("w") * (0.5 + 0.05 * k)
+    k = F.greatest(F.lit(0), F.ceil((off / F.col("w") - 0.5) / 0.05)).cast("int")
+    k = F.when((k > 0) & (off <= wide(k - 1)), k - 1).when(off > wide(k), k + 1).otherwise(k)  # the least step that covers a row, exactly
+    steps = x.join(b, "grp").groupBy("grp", "bias", k.alias("k")).agg(F.count("*").alias("n"))
+    grid = steps.where("k <= 110")
+    upto = F.sum("n").over(Window.partitionBy("grp").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))  # 111 steps a group
+    cover = grid.withColumn("upto", upto).join(steps.groupBy("grp").agg(F.sum("n").alias("rows")), "grp")
+    first = cover.groupBy("grp", "bias").agg(F.min(F.when(F.col("upto") / F.col("rows") >= 0.8, F.col("k"))).alias("k"))
+    return first.select("grp", r(F.col("bias")).alias("bias"), r(0.5 + 0.05 * F.col("k"), 4).alias("scale"))
 
 
 @query(f"""WITH x AS (SELECT l_returnflag AS grp, actual, pred, l_linenumber * 8 AS base FROM ({PAIR})), t AS (SELECT grp, CAST(a AS INT) AS a, CAST(c AS INT) AS c, sqrt(avg(pow(base + greatest(-c * 5.0::DOUBLE, least(c * 5.0::DOUBLE, a * 0.05::DOUBLE * (pred - base))) - actual, 2))) AS rmse FROM x, range(0, 21) t(a), range(1, 5) u(c) GROUP BY ALL)
@@ -269,10 +280,10 @@ SELECT grp, a AS alpha_step, c AS cap_step, round(rmse, 6) AS rmse FROM t QUALIF
 def guard_search(spark, sf_dir):
     """How much of a correction to apply, and its cap, by error per group over a fixed grid of 84."""
     x = _pair(spark, sf_dir).select(F.col("l_returnflag").alias("grp"), "actual", "pred", (F.col("l_linenumber") * 8).alias("base"))
-    x = x.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    cap = F.col("c") * 5.0
-    moved = F.col("base") + F.greatest(-cap, F.least(cap, F.col("a") * 0.05 * (F.col("pred") - F.col("base"))))
-    t = x.groupBy("grp", "a", "c").agg(F.sqrt(F.avg(F.pow(moved - F.col("actual"), 2))).alias("rmse"))
+    tried = [(a, c) for a in range(21) for c in range(1, 5)]
+    moved = lambda a, c: F.col("base") + F.greatest(F.lit(-5.0 * c), F.least(F.lit(5.0 * c), a * 0.05 * (F.col("pred") - F.col("base"))))
+    one = x.groupBy("grp").agg(*(F.avg(F.pow(moved(a, c) - F.col("actual"), 2)).alias(f"m{a}_{c}") for a, c in tried))  # one pass, 84 sums
+    t = one.select("grp", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(c).alias("c"), F.sqrt(f"m{a}_{c}").alias("rmse")) for a, c in tried))).alias("t")).select("grp", "t.*")
     best = t.groupBy("grp").agg(F.min_by(F.struct("a", "c", "rmse"), F.struct(r(F.col("rmse"), 9), "a", "c")).alias("x"))
     return best.select("grp", F.col("x.a").alias("alpha_step"), F.col("x.c").alias("cap_step"), r(F.col("x.rmse")).alias("rmse"))
 

@@ -28,6 +28,7 @@ from kindling.llm.common import counted_join, cut, pick, shared_dir, sieved
 from kindling.llm.files import created, opened
 
 GZIP = b"\x1f\x8b\x08"
+RECORD = b"WARC/"
 LEVEL = 3
 #: Bytes of an archive that a reading task takes, and of one read.
 SPLIT, CHUNK = 4 << 20, 1 << 16
@@ -89,17 +90,23 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     return cut(rows.mapInArrow(run, "path string, n_bytes long, n_records long"))
 
 
+def opening(data: bytes) -> bytes | None:
+    """The first bytes of a gzip member, as many as RECORD has if `data` holds them; None if it is no member."""
+    try:
+        return zlib.decompressobj(31).decompress(data, len(RECORD))
+    except zlib.error:
+        return None
+
+
 def members(file, start: int, end: int):
     """The whole of each gzip member that opens a WARC record and starts in [start, end)."""
     file.seek(start)
-    buf, base, open_end = b"", start, False
-    pos = 0
+    buf, base, pos = b"", start, 0
 
     def more() -> bool:
-        nonlocal buf, open_end
+        nonlocal buf
         got = file.read(CHUNK)
         buf += got
-        open_end = not got
         return bool(got)
 
     while base + pos < end:
@@ -113,27 +120,23 @@ def members(file, start: int, end: int):
         if base + at >= end:
             return
         buf, base, pos = buf[at:], base + at, 0
-        d, out, fed, good = zlib.decompressobj(31), [], 0, None
+        while (head := opening(buf)) is not None and len(head) < len(RECORD) and RECORD.startswith(head) and more():
+            pass
+        if head != RECORD:
+            pos = 1
+            continue
+        d, out, fed = zlib.decompressobj(31), [], 0
         try:
-            while not d.eof:
-                if fed == len(buf) and not more():
-                    break
+            while not d.eof and (fed < len(buf) or more()):
                 out.append(d.decompress(buf[fed:]))
                 fed = len(buf)
-                if good is None and sum(map(len, out)) >= 5:
-                    good = b"".join(out)[:5] == b"WARC/"
-                    if not good:
-                        break
-        except zlib.error:
-            good = False
-        if good is not None and b"".join(out)[:5] == b"WARC/" and not d.eof:
+        except zlib.error as e:
+            raise ValueError(f"the record at byte {base} is cut short or damaged") from e
+        if not d.eof:
             raise ValueError(f"the record at byte {base} is cut short or damaged")
-        if good and d.eof:
-            yield base, b"".join(out)
-            used = len(buf) - len(d.unused_data)
-            buf, base, pos = buf[used:], base + used, 0
-        else:
-            pos = 1
+        yield base, b"".join(out)
+        used = len(buf) - len(d.unused_data)
+        buf, base, pos = buf[used:], base + used, 0
 
 
 def parse(data: bytes) -> dict:

@@ -62,10 +62,10 @@ def terrain_derivatives(spark, sf_dir):
     return t.groupBy("vec_id").agg(r(F.avg("slope"), 5).alias("slope"), r(F.avg("aspect"), 5).alias("aspect"))
 
 
-@query(f"""WITH g AS MATERIALIZED (SELECT vec_id % 10 AS tile, vec_id // 10 AS day, row, col, value FROM {GRID} WHERE row < 2) SELECT a.tile, a.day, count(*) AS cells, round(sum(coalesce(s, 0)), 4) AS before3 FROM g a LEFT JOIN (SELECT a.tile, a.day, a.row, a.col, sum(b.value) AS s FROM g a JOIN g b ON b.tile = a.tile AND b.row = a.row AND b.col = a.col AND b.day BETWEEN a.day - 3 AND a.day - 1 GROUP BY ALL) b USING (tile, day, row, col) GROUP BY ALL""")
+@query(f"""WITH g AS MATERIALIZED (SELECT vec_id % 10 AS tile, vec_id // 10 AS day, row, col, value FROM {GRID}) SELECT a.tile, a.day, count(*) AS cells, round(sum(coalesce(s, 0)), 4) AS before3 FROM g a LEFT JOIN (SELECT a.tile, a.day, a.row, a.col, sum(b.value) AS s FROM g a JOIN g b ON b.tile = a.tile AND b.row = a.row AND b.col = a.col AND b.day BETWEEN a.day - 3 AND a.day - 1 GROUP BY ALL) b USING (tile, day, row, col) GROUP BY ALL""")
 def antecedent_grid(spark, sf_dir):
     """Each cell's sum over the three days before."""
-    g = _grid(spark, sf_dir).where("row < 2").select((F.col("vec_id") % 10).alias("tile"), F.floor(F.col("vec_id") / 10).alias("day"), "row", "col", "value")
+    g = _grid(spark, sf_dir).select((F.col("vec_id") % 10).alias("tile"), F.floor(F.col("vec_id") / 10).alias("day"), "row", "col", "value")
     return grids.antecedent(g, "day", 3, ["tile"]).groupBy("tile", "day").agg(F.count("*").alias("cells"), r(F.sum("antecedent"), 4).alias("before3"))
 
 

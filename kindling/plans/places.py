@@ -85,12 +85,12 @@ def nearest_grid_cell(spark, sf_dir):
 
 
 @query(f"""WITH m AS (SELECT k, s FROM (SELECT k, s, sqrt(pow(c.lat - s.lat, 2) + pow(c.lon - s.lon, 2)) AS d FROM {C} c, {S} s) WHERE d <= 0.5 QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(d, 9), s) = 1),
-w AS (SELECT user_id % 100 + 1 AS s, epoch_us(ts) // 3600000000 AS hour, avg(value) AS wind FROM events WHERE event_type = 'view' AND epoch_us(ts) // 3600000000 % 7 = 0 GROUP BY ALL)
+w AS (SELECT user_id % 100 + 1 AS s, epoch_us(ts) // 3600000000 AS hour, avg(value) AS wind FROM events WHERE event_type = 'view' GROUP BY ALL)
 SELECT s, hour, count(*) AS points, round(any_value(wind), 6) AS wind FROM m JOIN w USING (s) GROUP BY ALL""")
 def mapped_hourly_lookup(spark, sf_dir):
     """A value by hour from each point's nearest cell; hours without one are absent."""
     m = geo.nearest_cell(_reports(spark, sf_dir).select("k", "lat", "lon"), _stations(spark, sf_dir).select("s", "lat", "lon"), "k", "s", 0.5, 0.5)
-    e = events(spark, sf_dir).where("event_type = 'view'").withColumn("hour", F.floor(F.col("at") / 3_600_000_000)).where("hour % 7 = 0")
+    e = events(spark, sf_dir).where("event_type = 'view'").withColumn("hour", F.floor(F.col("at") / 3_600_000_000))
     w = e.groupBy((F.col("user_id") % 100 + 1).alias("s"), "hour").agg(F.avg("value").alias("wind"))
     points = m.groupBy("s").agg(F.count("*").alias("points"))
     return points.join(w, "s").select("s", "hour", "points", r(F.col("wind")).alias("wind"))

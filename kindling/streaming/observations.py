@@ -37,8 +37,20 @@ def moisture(stream: DataFrame, key: str, at: str, level: str, start: float = 10
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, fm double", "fm double", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Takes all that is there, once; a second run with the same checkpoint takes only what is new."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Takes all that is there, once; a second run with the same checkpoint takes only what is new.
+
+    Each batch is a folder of its own under `path`, written over if the batch is retried. In complete mode the last
+    batch is the whole result, else all batches are.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    found = stream.sparkSession.read.parquet(path)
+    if mode == "complete":
+        last = found.agg(F.max("batch").alias("batch"))
+        found = found.join(F.broadcast(last), "batch")  # one row
+    return found.drop("batch")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindling.functions import scores, weather
-from kindling.operators import folds, graph, shared, splits
+from kindling.operators import folds, geo, graph, ranks, shared, splits
 from kindling.sources import sinks, stations
 from kindling.streaming import observations
 
@@ -65,7 +65,7 @@ def test_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(2).write.parquet(str(tmp_path / "in"))
     s = observations.hourly(observations.source(spark, str(tmp_path / "in"), events.schema), ["event_type"], "ts", "value")
-    assert observations.run_available(s, "hours", str(tmp_path / "cp")).agg(F.sum("n")).first()[0] == events.count()
+    assert observations.run_available(s, str(tmp_path / "out"), str(tmp_path / "cp")).agg(F.sum("n")).first()[0] == events.count()
 
 
 def test_sieve_and_counted_join(spark, monkeypatch):
@@ -85,3 +85,57 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.root for r in graph.linked(spark.createDataFrame(path + star, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {i: 1000 for i in range(1001, 1400)}
     assert graph.linked(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_moisture_stream_carries_its_state(spark, tmp_path):
+    rows = spark.createDataFrame([(1, i, 20.0 if i < 3 else 5.0) for i in range(6)], "k long, t long, level double")
+    for part in (rows.where("t < 3"), rows.where("t >= 3")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = observations.moisture(observations.source(spark, str(tmp_path / "in"), rows.schema), "k", "t", "level")
+        out = observations.run_available(s, str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+    state, want = 10.0, []
+    for x in [20.0] * 3 + [5.0] * 3:
+        state = folds.moisture()((state,), x, 0.0)[0]
+        want.append(state)
+    assert sorted(r.fm for r in out.collect()) == pytest.approx(sorted([want[2], want[5]]))
+
+
+@pytest.mark.parametrize("lat, lon", [(0.0, 179.95), (89.7, 10.0), (-71.3, -179.9), (45.0, 0.0)])
+def test_no_pair_is_lost_at_any_latitude(spark, lat, lon):
+    import math
+
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    pts = [(i, float(np.clip(lat + draw.normal(0, 0.4), -90, 90)), float((lon + draw.normal(0, 2 if abs(lat) < 80 else 90) + 180) % 360 - 180)) for i in range(60)]
+    df = spark.createDataFrame(pts, "k long, lat double, lon double")
+    got = {(r.k, r.r_k) for r in geo.within_radius(df, df, 30.0).where("k < r_k").collect()}
+
+    def km(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * weather.EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+    assert got == {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and km(a, b) <= 30.0}
+
+
+def test_quantiles_and_ranks_equal_numpy(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    rows = [(g, float(v)) for g in range(3) for v in draw.integers(0, 40, 57 + g)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    got = {r.g: r for r in ranks.quantiles(df, ["g"], "v", {"a": (0.3, "linear"), "b": (0.8, "higher")}).collect()}
+    for g in range(3):
+        v = [x for k, x in rows if k == g]
+        assert got[g].a == pytest.approx(np.quantile(v, 0.3)) and got[g].b == np.quantile(v, 0.8, method="higher")
+    n = spark.range(23).select(F.col("id"), F.xxhash64("id").alias("h"))
+    tiles = ranks.ranked(n, [], [F.col("h")]).select(ranks.tile(F.col("rank"), F.lit(23), 10).alias("t")).groupBy("t").count().collect()
+    assert sorted((r.t, r["count"]) for r in tiles) == [(t + 1, len(x)) for t, x in enumerate(np.array_split(np.arange(23), 10))]
+
+
+def test_files_that_differ_from_their_manifest_are_refused(spark, tmp_path):
+    spark.range(3).write.csv(str(tmp_path / "x"), header=True)
+    told = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in stations.checksum(spark, str(tmp_path / "x") + "/*.csv").collect()}
+    assert stations.typed_csv(spark, str(tmp_path / "x"), "id LONG", told).count() == 3
+    with pytest.raises(ValueError):
+        stations.typed_csv(spark, str(tmp_path / "x"), "id LONG", dict.fromkeys(told, "0"))

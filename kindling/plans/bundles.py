@@ -28,13 +28,13 @@ def standardised(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS y, 0.2::DOUBLE + avg(value) / 60 AS lam FROM events GROUP BY ALL), m AS (SELECT month(day) AS month, quantile_cont(y - lam, 0.1) AS lo, quantile_cont(y - lam, 0.9) AS hi FROM d GROUP BY ALL)
-SELECT user_id, day, round(lam, 6) AS lam, round(1 - exp(-lam), 6) AS p, round(greatest(0, lam + lo), 6) AS low, round(lam + hi, 6) AS high FROM d JOIN m ON m.month = month(day)""")
+SELECT user_id, day, round(lam, 8) AS lam, round(1 - exp(-lam), 8) AS p, round(greatest(0, lam + lo), 8) AS low, round(lam + hi, 8) AS high FROM d JOIN m ON m.month = month(day)""")
 def rate_with_interval(spark, sf_dir):
     """Expected counts, the chance of one or more, and an interval from the month's residuals."""
     d = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("y"), (0.2 + F.avg("value") / 60).alias("lam"))
     d = d.withColumn("month", F.month("day")).withColumn("e", F.col("y") - F.col("lam"))
     m = ranks.quantiles(d, ["month"], "e", {"lo": (0.1, "linear"), "hi": (0.9, "linear")})
-    return d.join(F.broadcast(m), "month").select("user_id", "day", r(F.col("lam")).alias("lam"), r(1 - F.exp(-F.col("lam"))).alias("p"), r(F.greatest(F.lit(0.0), F.col("lam") + F.col("lo"))).alias("low"), r(F.col("lam") + F.col("hi")).alias("high"))  # twelve months
+    return d.join(F.broadcast(m), "month").select("user_id", "day", r(F.col("lam"), 8).alias("lam"), r(1 - F.exp(-F.col("lam")), 8).alias("p"), r(F.greatest(F.lit(0.0), F.col("lam") + F.col("lo")), 8).alias("low"), r(F.col("lam") + F.col("hi"), 8).alias("high"))  # twelve months
 
 
 @query("""SELECT l_linenumber, round(avg(e), 6) AS elevated, round(avg(least(e, c)), 6) AS critical FROM (SELECT l_linenumber, CASE WHEN l_quantity <= 10 THEN l_quantity * 0.03 ELSE least(0.95, 0.3 + (l_quantity - 10) * 0.02) END AS e, CASE WHEN l_quantity <= 25 THEN 0.4 ELSE least(0.9, 0.4 + (l_quantity - 25) * 0.03) END AS c FROM lineitem) GROUP BY l_linenumber""")

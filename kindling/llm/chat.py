@@ -79,7 +79,7 @@ class Template:
     def escaped(self, text: Column) -> Column:
         """One more backslash behind the first character of each mark, whatever backslashes are there."""
         places = "|".join(rf"(?<={_java(c[0])})(?=\\*{_java(c[1:])})" for c in self.controls)
-        return F.regexp_replace(text, places, r"\\\\")
+        return F.regexp_replace(text, places, r"\\")
 
     def unescaped(self, text: Column) -> Column:
         places = "|".join(rf"(?<={_java(c[0])})\\(?=\\*{_java(c[1:])})" for c in self.controls)

@@ -33,9 +33,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import cut, pick
+from kindling.llm.common import BROADCAST_ROWS, counted_join, cut, pick
 from kindling.llm.simhash import SEED, one_of_each
 from kindling.operators import graph
+from kindling.operators.shared import COOL_ROWS
 
 #: The JVM compiles no method of more than 8,000 bytes of code; the test of 28 longs comes near that.
 WIDTH, WORDS = 1664, 26
@@ -125,10 +126,21 @@ def _differ(a: str, b: str, words: int) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)), F.lit(0))
 
 
+def _met(pairs: DataFrame, side: DataFrame, at: str, total: int) -> DataFrame:
+    """`pairs`, a written table of `total` rows, with what `side` (node and more) has for the node in column `at`.
+
+    A node of very many pairs is broadcast to them, so its pairs stay in as many tasks as before.
+    """
+    counts = pairs.groupBy(F.col(at).alias("node")).agg(F.count("*").alias("n"))
+    return counted_join(pairs, side.join(counts, "node").withColumnRenamed("node", at), [at], total).drop("n")
+
+
 def _near(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     """The pairs (u, v) whose fingerprints differ in DISTANCE bits or fewer."""
-    both = pairs.join(wide.toDF("u", "w1"), "u").join(wide.toDF("v", "w2"), "v")
-    return both.where(_differ("w1", "w2", WORDS) <= DISTANCE).select("u", "v")
+    pairs = cut(pairs.distinct())
+    total = pairs.count()
+    first = cut(_met(pairs, wide.toDF("node", "w1"), "u", total))
+    return _met(first, wide.toDF("node", "w2"), "v", total).where(_differ("w1", "w2", WORDS) <= DISTANCE).select("u", "v")
 
 
 def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -142,7 +154,8 @@ def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int) ->
     pairs = cut(pairs.distinct())
     asked = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(rows, "node"))
     sets = cut(texts.select("row", F.col("text").cast("binary").alias("text")).join(asked, "row").select("node", "text").mapInArrow(run, "node long, set array<long>"))
-    both = pairs.join(sets.toDF("u", "s1"), "u").join(sets.toDF("v", "s2"), "v")
+    sets, total = cut(sets), pairs.count()
+    both = _met(cut(_met(pairs, sets.toDF("node", "s1"), "u", total)), sets.toDF("node", "s2"), "v", total)
     shared, most = F.size(F.array_intersect("s1", "s2")), F.size("s1") + F.size("s2")
     return both.where(9 * shared >= 4 * most).select("u", "v")  # shared / (most - shared) >= 4 / 5
 
@@ -154,8 +167,9 @@ def _hubs(members: DataFrame) -> DataFrame:
     hub of a block is the member whose crowded blocks hold most in all.
     """
     listed = members.where("score is not null").select("node", "score", F.explode("full").alias("key"))
-    hubs = listed.groupBy("key").agg(F.max(F.struct("score", "node")).alias("hub"))
-    best = listed.join(hubs, "key").where("node <> hub.node").groupBy("node").agg(F.sort_array(F.collect_set("hub"), asc=False).alias("hubs"))
+    hubs = listed.groupBy("key").agg(F.max(F.struct("score", "node")).alias("hub"), F.count("*").alias("n"))
+    total = members.agg(F.sum(F.size("full"))).first()[0] or 0
+    best = counted_join(listed, hubs, ["key"], total).where("node <> hub.node").groupBy("node").agg(F.sort_array(F.collect_set("hub"), asc=False).alias("hubs"))
     return best.select(F.col("node").alias("u"), F.explode(F.slice("hubs", 1, ASKED)["node"]).alias("v"))
 
 
@@ -174,15 +188,16 @@ def _tiled(members: DataFrame, near: Column) -> DataFrame:
     return _pairs(left, right, ["key", "tile", "other"], ((F.col("u") < F.col("v")) | (F.col("tile") < F.col("other"))) & near)
 
 
-def linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """node and root, the smallest node it is linked to, for every node (node, row, wide, keys) with a link; `texts` has row and text."""
+def linked(nodes: DataFrame, texts: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """node and root, the smallest node it is linked to, for every node (node, row, wide, keys of blocks of `bits`) with a link; `texts` has row and text."""
     wide, rows = nodes.select("node", "wide"), nodes.select("node", "row")
     own, other = ([f"{side}{i}" for i in range(SKETCH)] for side in "st")
     sketch = [F.col("wide")[i].alias(c) for i, c in enumerate(own)]
     apart = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(own, other)), F.lit(0))
     listed = nodes.select(F.explode("keys").alias("key"), "node", *sketch)
     low = listed.groupBy("key").agg(F.min(F.struct("node", *own)).alias("low"), F.count("*").alias("n")).select("key", "n", F.col("low.node").alias("v"), *(F.col(f"low.{a}").alias(b) for a, b in zip(own, other)))
-    met = listed.join(low, "key").withColumn("d", apart)
+    low, total = cut(low), nodes.count() * len(tables(bits))
+    met = counted_join(listed, low, ["key"], total).withColumn("d", apart)
     near = F.when((F.col("d") <= SKETCH_DISTANCE) & (F.col("v") != F.col("node")), F.struct("d", "v"))
     full = F.col("n") > CROWDED
     asked = met.groupBy("node").agg(F.sort_array(F.collect_set(near)).alias("near"), F.collect_list(F.when(full, F.col("key"))).alias("full"), F.sum(F.when(full, F.col("n"))).alias("score"))  # at most one of each for each block
@@ -193,19 +208,23 @@ def linked(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     blocks = roots.select(F.explode("keys").alias("key"), "node", "root", *sketch)
     crowded = blocks.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("n")).where(F.col("n") > CROWDED)
     crowded = cut(crowded)
-    few = blocks.join(crowded, "key", "left_anti")
+    # keys of very many members are few and broadcast; the shuffle that leaves out the other crowded ones is the one that the pairs need
+    limit = max(total // BROADCAST_ROWS, COOL_ROWS)
+    few = blocks.join(F.broadcast(crowded.where(F.col("n") > limit)), "key", "left_anti").join(crowded.where(F.col("n") <= limit), "key", "left_anti")
     few = _pairs(few.toDF("key", "u", "r1", *own), few.toDF("key", "v", "r2", *other), ["key"], (F.col("u") < F.col("v")) & (apart <= SKETCH_DISTANCE))
-    many = roots.select(F.explode("keys").alias("key"), "node", "root", "wide").join(crowded.where("mixed").drop("mixed"), "key")
+    mixed = crowded.where("mixed").select("key", "n")
+    many = counted_join(roots.select(F.explode("keys").alias("key"), "node", "root", "wide"), mixed, ["key"], total)
     many = _tiled(many, (_differ("w1", "w2", SKETCH) <= SKETCH_DISTANCE) & (_differ("w1", "w2", WORDS) <= DISTANCE))
     return graph.linked(edges.unionByName(alike(_near(few, wide).unionByName(many), rows, texts, shingle)))
 
 
 def rooted(texts: DataFrame, shingle: int) -> DataFrame:
     """row, doc_id, node and root, the smallest node of its group, for every row of a written table (row, doc_id, text)."""
-    rows = cut(fingerprints(texts, block_bits(texts.count()), shingle))
-    nodes = cut(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("wide").alias("wide"), F.first("keys").alias("keys")))
-    found = linked(nodes, texts, shingle).withColumnRenamed("node", "at")
-    return rows.drop("wide", "keys").join(found, F.col("node") == F.col("at"), "left").withColumn("root", F.coalesce("root", "node")).drop("at")
+    bits = block_bits(texts.count())
+    rows = cut(fingerprints(texts, bits, shingle))
+    nodes = cut(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("wide").alias("wide"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    found = linked(nodes.drop("n"), texts, shingle, bits).join(nodes.select("node", "n"), "node")
+    return counted_join(rows.drop("wide", "keys"), found, ["node"], rows.count(), how="left").drop("n").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:

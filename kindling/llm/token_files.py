@@ -9,7 +9,7 @@ fixed width, so a reader finds any document by a few seeks and unpacks whole blo
     ids, documents, offset of the footer, MAGIC)
 
 Files are written in ascending doc_id order, null first; rows of one doc_id stand together
-in any order. A null or empty text is the end id alone. A very long text is encoded and written whole, over as many blocks as it takes. An empty table gives an empty result.
+in the order of a hash of their texts, so reruns agree, and may fill any number of files. A null or empty text is the end id alone. A very long text is encoded and written whole, over as many blocks as it takes. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
@@ -143,9 +143,10 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -
             n, ids = to.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [n], "n_tokens": [ids]})
 
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    files = cut(ordered.mapInArrow(run, "part long, path string, n_docs long, n_tokens long"))
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    rows = rows.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    files = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "part long, path string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

@@ -39,11 +39,23 @@ INSULTS = frozenset(
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti usted ustedes vosotros".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
 WORD = re.compile(r"[^\W\d_]+")
-MASKED = re.compile(r"(?=[\w@$*!]*[0-9@$*!])(?=[\w@$*!]*[a-z])[a-z0-9@$*!]{3,}")
+#: Words with the signs that stand for letters, and the parts of them that may be masked words.
+RUN, PART = re.compile(r"[\w@$*!]{3,}"), re.compile(r"[a-z0-9@$*!]{3,}")
 SPACED = re.compile(r"\b(?:[a-z][.\-_* ]){3,}[a-z]\b")
 MARKS = re.compile(r"[^\w\s]")
 
 
+def masked(low: str) -> list[str]:
+    """Parts of a lower-cased text in which digits or signs may stand for letters: at or behind their start the word has both kinds."""
+    out = []
+    for run in RUN.findall(low):
+        if not run.isalpha():
+            sign = max(map(run.rfind, "0123456789@$*!"))
+            letter = next((i for i in range(len(run) - 1, -1, -1) if "a" <= run[i] <= "z"), -1)
+            out += [m.group() for m in PART.finditer(run) if m.start() <= min(sign, letter)]
+    return out
+
+
 def features(text: str, lexicon: frozenset[str]) -> list[float]:
     low = text.lower()
     found = WORD.findall(low)
@@ -53,13 +65,13 @@ def features(text: str, lexicon: frozenset[str]) -> list[float]:
     hits, near = sorted({*fixed, *learned}), 0
     for i in hits:
         near += any(w in SECOND for w in found[max(0, i - NEAR) : i + NEAR + 1])
-    masked = [w.translate(LEET) for w in MASKED.findall(low)] if hits or any(c in low for c in "0123456789@$*!") else []
-    masked_hits = sum(w.strip("*!") in INSULTS for w in masked)
+    hidden = [w.translate(LEET) for w in masked(low)] if any(c in low for c in "0123456789@$*!") else []
+    masked_hits = sum(w.strip("*!") in INSULTS for w in hidden)
     upper = sum(map(str.isupper, text.split()))
     return [
         len(fixed) / n, np.log1p(len(fixed)), len(learned) / n, np.log1p(len(learned)), len(hits) / n, len({found[i] for i in hits}), near / n, near,
         upper / n, sum(1 for c in text if c.isupper()) / chars if upper else 0.0, len(MARKS.findall(text)) / chars, text.count("!") / n, text.count("?") / n,
-        len(masked) / n, masked_hits / n, len(SPACED.findall(low)) / n, np.log1p(len(found)),
+        len(hidden) / n, masked_hits / n, len(SPACED.findall(low)) / n, np.log1p(len(found)),
     ]
 
 

@@ -92,3 +92,13 @@ def test_offsets_of_every_text(spark):
     for r in bpe.encode(docs, vocabulary(), offsets=True).collect():
         told = own.model.encode(texts[r.doc_id] or "", add_special_tokens=False)
         assert r.ids == told.ids and r.char_starts == [a for a, _ in told.offsets]
+
+
+def test_token_files_agree_from_run_to_run(spark):
+    """Rows of one doc_id, and very many without any, have the same places however the rows lie, over several files."""
+    rows = [(None, f"row {i % 40}") for i in range(400)] + [(7, f"seven {i}") for i in range(50)] + [(8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sorted(map(str, token_files.round_trip(docs.repartition(n), vocabulary()).collect())) for n in (2, 5)]
+    assert runs[0] == runs[1]
+    files = token_files.write(docs.repartition(5), vocabulary(), warc.shared_dir(spark)).collect()
+    assert len(files) > 1 and max(f.n_docs for f in files) < 300

@@ -69,13 +69,13 @@ def forecast_json(spark: SparkSession, path: str, fields: str) -> DataFrame:
     return s.select("run_date", "stid", "lat", "lon", "f.*")
 
 
-def observations_json(spark: SparkSession, path: str) -> DataFrame:
-    """stid, hour, temp_c and n from files whose root is a list of observations, one of them, or a map from station to list; Fahrenheit is told by its unit.
+def observations_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """stid, hour, temp_c and n from files whose root is a list of observations, one of them, or a map from station to list; with `lines`, each line is such a root. Fahrenheit is told by its unit.
 
     Times are rounded to the hour, halves to the even one, and values averaged by it.
     """
     one = "STRUCT<stid: STRING, time: STRING, temp: DOUBLE, unit: STRING>"
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v")).select("v", F.from_json("v", f"MAP<STRING, ARRAY<{one}>>").alias("m"))
+    raw = spark.read.text(path, wholetext=not lines).select(F.trim("value").alias("v")).select("v", F.from_json("v", f"MAP<STRING, ARRAY<{one}>>").alias("m"))
     root = F.when(F.startswith("v", F.lit("[")), F.from_json("v", f"ARRAY<{one}>")).when(F.get_json_object("v", "$.stid").isNotNull(), F.array(F.from_json("v", one)))
     listed = raw.withColumn("root", root)
     flat = listed.where("root is not null").select(F.explode("root").alias("o")).select("o.*")

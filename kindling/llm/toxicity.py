@@ -39,8 +39,8 @@ INSULTS = frozenset(
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti usted ustedes vosotros".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
 WORD = re.compile(r"[^\W\d_]+")
-#: Words with the signs that stand for letters, and the parts of them that may be masked words.
-RUN, PART = re.compile(r"[\w@$*!]{3,}"), re.compile(r"[a-z0-9@$*!]{3,}")
+#: Words with a digit or a sign in them, each looked at from its start only, and the parts of them that may be masked words.
+RUN, PART = re.compile(r"(?<![\w@$*!])[^\W\d_]*[\d_@$*!][\w@$*!]*"), re.compile(r"[a-z0-9@$*!]{3,}")
 SPACED = re.compile(r"\b(?:[a-z][.\-_* ]){3,}[a-z]\b")
 MARKS = re.compile(r"[^\w\s]")
 
@@ -49,10 +49,9 @@ def masked(low: str) -> list[str]:
     """Parts of a lower-cased text in which digits or signs may stand for letters: at or behind their start the word has both kinds."""
     out = []
     for run in RUN.findall(low):
-        if not run.isalpha():
-            sign = max(map(run.rfind, "0123456789@$*!"))
-            letter = next((i for i in range(len(run) - 1, -1, -1) if "a" <= run[i] <= "z"), -1)
-            out += [m.group() for m in PART.finditer(run) if m.start() <= min(sign, letter)]
+        sign = max(map(run.rfind, "0123456789@$*!"))
+        letter = next((i for i in range(len(run) - 1, -1, -1) if "a" <= run[i] <= "z"), -1)
+        out += [m.group() for m in PART.finditer(run) if m.start() <= min(sign, letter)]
     return out
 
 

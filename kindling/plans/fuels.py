@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindling.functions import fuels, weather
 from kindling.functions.scores import RELIEF_MM, guarded_score, level
-from kindling.operators import folds, temporal
+from kindling.operators import folds, scan, temporal
 from kindling.plans.common import events, r, registry, table
 from kindling.plans.relations import RULE
 
@@ -62,7 +62,7 @@ FROM (SELECT d.user_id, d.n AS m, d.day AS e, d.t, greatest(0, f.k - greatest(0,
 SELECT user_id, day, round(k / 100, 6) AS kbdi_inches, n > 90 AS valid FROM f WHERE n > 0""")
 def kbdi_inches_ungated(spark, sf_dir):
     """The index in inches without the temperature gate; the first 90 rows of a station are spin-up."""
-    out = folds.fold(_days(spark, sf_dir), ["user_id"], ["day"], ["t", "p"], (0.0,), folds.drought(1100.0, gate=False), ["k"])
+    out = scan.scanned(_days(spark, sf_dir), ["user_id"], [F.col("day")], scan.drought(1100.0, F.col("t"), F.col("p"), gate=False), F.lit(0.0), scan.clamp_both, scan.clamp, "k")
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("day"))
     return out.select("user_id", "day", r(F.col("k") / 100).alias("kbdi_inches"), (place > folds.SPINUP_DAYS).alias("valid"))
 

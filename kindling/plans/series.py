@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindling.functions.times import HOUR, hour_half_even, season_year
 from kindling.functions.weather import equilibrium_moisture
-from kindling.operators import folds, tables, temporal
+from kindling.operators import folds, scan, tables, temporal
 from kindling.plans.common import events, r, registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -137,7 +137,7 @@ FROM (SELECT f.*, d.user_id AS u, d.n AS m, greatest(0, f.k - greatest(0, d.p /
 SELECT user_id, day, round(k * 0.254::DOUBLE, 4) AS kbdi_mm, n > 10 AS valid FROM f WHERE n > 0""")
 def kbdi_fold(spark, sf_dir):
     days = _daily(spark, sf_dir).select("user_id", "day", F.least(F.col("top") / 5, F.lit(45.0)).alias("t"), (F.col("mean") / 5).alias("p"))
-    out = folds.fold(days, ["user_id"], ["day"], ["t", "p"], (0.0,), folds.drought(1000.0), ["k"])
+    out = scan.scanned(days, ["user_id"], [F.col("day")], scan.drought(1000.0, F.col("t"), F.col("p")), F.lit(0.0), scan.clamp_both, scan.clamp, "k")
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("day"))
     return out.select("user_id", "day", r(F.col("k") * 0.254, 4).alias("kbdi_mm"), (place > 10).alias("valid"))  # a spin-up of 10 days
 

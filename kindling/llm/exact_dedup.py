@@ -7,7 +7,8 @@ suspects; their texts alone are shuffled and compared byte for byte.
 
 Edge cases: a null text is empty; empty texts form a group like any other. A null doc_id is
 smaller than any other; a group of null ids has a null keep_id. Of rows that repeat both
-doc_id and text one stays. An empty table gives an empty result. Extra columns are ignored.
+doc_id and text one stays. A very long text is hashed whole, and compared whole only where its fingerprint occurs
+elsewhere. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

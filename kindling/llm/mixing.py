@@ -9,7 +9,7 @@ the budget still has.
 
 Edge cases: a null or empty text has size 0 and takes 0. Null is a source of its own, last in
 order. Rows that repeat doc_id and text share one key; if the cut falls on them each takes
-an equal part. A source of size 0 has target 0. An empty table gives an empty result.
+an equal part. A very long text counts with all its words, and is cut only where a budget ends in it. A source of size 0 has target 0. An empty table gives an empty result.
 Extra columns are ignored.
 """
 

@@ -8,7 +8,8 @@ log-ratio of its n-grams. It is kept at THRESHOLD or above; nothing is drawn at
 
 The target is all rows labelled good that may be learned from; the raw counts cover all rows. Without any target the ratio is zero and only the two rules hold.
 
-Edge cases: a null or empty text has no words and fails. Repeated rows get equal results.
+Edge cases: a null or empty text has no words and fails. Repeated rows get equal results. A
+very long text is measured whole. A score at the threshold is kept, ties with it alike; a null doc_id has no label and is judged like any other.
 An empty table gives an empty result. Extra columns are ignored.
 """
 

@@ -9,7 +9,7 @@ linear work. Equal fingerprints are one node, so copies never make pairs.
 
 Edge cases: a null or empty text has no words and fingerprint zero, linked like any other.
 Null ids don't count for component_id; a component without any id has none. Repeated rows
-stay repeated. An empty table gives an empty result. Extra columns are ignored.
+stay repeated. All shingles of a very long text count, in chunks of bounded memory. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ than CROWDED members carry whole fingerprints into the join, which makes both te
 dealt into tiles, every two of which meet in a task of their own, so no block is one task's work; the comparisons of
 texts that share a block and aren't alike, though not their rows, still grow with the square of the block.
 
-Edge cases: as in simhash. Texts without words are one node.
+Edge cases: a null or empty text has no words; texts without words are one node, linked like any other. Texts of equal shingle sets are
+one node, so ties between copies are settled by row: of a group the smallest doc_id stays, null last, and of equal ids the
+smallest node and row. All shingles of a very long text count. An empty table gives an empty result. Extra columns are kept or ignored as they are.
 """
 
 from __future__ import annotations

@@ -3,6 +3,10 @@
 Quality rules drop poor rows, exact dedup and near dedup leave one document of each group,
 mixing repeats or drops rows until each source has its weight, and the last stage encodes
 what is left. Stages are written as Parquet in the shared folder and read again.
+
+Edge cases: null and empty texts fail the quality rules. Rows are told apart by row, not by id: rows that repeat id and text
+leave one, null ids are judged like any other and never take each other along. Very long texts pass all stages whole,
+except where a source's budget ends within one. Extra columns go along. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -34,7 +34,7 @@ def rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name]).to_arrow_table()
     names = want.column_names

@@ -25,6 +25,21 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
     return running(df, keys, order, {name: F.lit(1).cast("long")})
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], own: bool = True) -> DataFrame:
+    """df with the last value that isn't null up to each row in ascending `order`, per key; up to the row before it without `own`. Null where there is none.
+
+    A value within a struct is carried even if it is null, as the struct isn't. Keys may be null; `order` tells all rows apart. A range passes on one row a key.
+    """
+    x = df.select("*", *(v.alias(f"_{n}") for n, v in values.items()))
+    x = cut(x.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    ends = x.groupBy("_part", *keys).agg(*(F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.struct(*order))).alias(f"_e{n}") for n in values))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("_part").alias("_of"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(F.last(f"_e{n}", True).over(before).alias(f"_b{n}") for n in values))
+    same = [F.col("_part") == F.col("_of"), *(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))]
+    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    return x.join(ends, same).select(*df.columns, *(F.coalesce(F.last(f"_{n}", True).over(within), F.col(f"_b{n}")).alias(n) for n in values))
+
+
 def tile(rank: Column, rows: Column, tiles: int) -> Column:
     """The tile of a rank where `rows` rows are dealt into tiles in order, the larger ones first."""
     size, more = F.floor(rows / tiles), rows % tiles

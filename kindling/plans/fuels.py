@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindling.functions import fuels, weather
 from kindling.functions.scores import RELIEF_MM, guarded_score, level
-from kindling.operators import folds, scan, temporal
+from kindling.operators import folds, ranks, scan, temporal
 from kindling.plans.common import events, r, registry, table
 from kindling.plans.relations import RULE
 
@@ -118,17 +118,11 @@ def lead_changes(spark, sf_dir):
 @query(f"""WITH a AS (SELECT *, coalesce(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS dv, coalesce(value - lag(value) OVER (ORDER BY user_id, ts, event_id), 0) AS du FROM ({RAIN}))
 SELECT event_id, CAST((p > 0)::INT - (dv < 0)::INT AS INT) AS grouped, CAST((p > 0)::INT - (du < 0)::INT AS INT) AS carried FROM a""")
 def wet_dry_transition(spark, sf_dir):
-    """Rain less drying, by station; and with the change carried over from one station's last row to the next one's first.
-
-    The carried form needs no window over all rows: the last value of the station before is one row per station.
-    """
-    by = Window.partitionBy("user_id").orderBy("at", "event_id")
-    a = _rain(spark, sf_dir).withColumn("before", F.lag("value").over(by)).withColumn("first", F.lag("event_id").over(by).isNull())
-    ends = a.groupBy("user_id").agg(F.max_by("value", F.struct("at", "event_id")).alias("end"))
-    ends = ends.select("user_id", F.lag("end").over(Window.orderBy("user_id")).alias("end"))  # one row per station
-    a = a.join(ends, "user_id").withColumn("carried", F.when(F.col("first"), F.col("end")).otherwise(F.col("before")))
-    state = lambda c: ((F.col("p") > 0).cast("int") - (F.coalesce(F.col("value") - F.col(c), F.lit(0.0)) < 0).cast("int"))
-    return a.select("event_id", state("before").alias("grouped"), state("carried").alias("carried"))
+    """Rain less drying, by station; and with the change carried over from one station's last row to the next one's first."""
+    a = ranks.carried(_rain(spark, sf_dir).select("user_id", "at", "event_id", "value", "p"), [], ["user_id", "at", "event_id"], {"before": F.struct("user_id", "value")}, own=False)
+    state = lambda v: ((F.col("p") > 0).cast("int") - (F.coalesce(F.col("value") - v, F.lit(0.0)) < 0).cast("int"))
+    own = F.when(F.col("before.user_id") == F.col("user_id"), F.col("before.value"))
+    return a.select("event_id", state(own).alias("grouped"), state(F.col("before.value")).alias("carried"))
 
 
 WINDOWS = "(SELECT l_orderkey AS run, l_linenumber AS b, greatest(0, l_linenumber - 1 - l_partkey % 3) AS a, max(l_quantity) AS v FROM lineitem GROUP BY ALL UNION ALL SELECT l_orderkey, l_linenumber, 0, max(l_quantity) * 3 FROM lineitem WHERE l_linenumber > 3 GROUP BY ALL)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindling.operators import geo, grids
+from kindling.operators import geo, grids, ranks
 from kindling.plans.common import r, registry, table
 from kindling.plans.evidence import GRID, _grid
 from kindling.plans.relations import RINGS, _inside
@@ -94,8 +94,7 @@ def channel_statistics(spark, sf_dir):
 
 @query("""WITH p AS (SELECT c_custkey AS k, 36 + (c_custkey * 37 % 500) / 100.0::DOUBLE AS lat FROM customer), s AS (SELECT lat - lag(lat) OVER (ORDER BY lat) AS gap FROM (SELECT DISTINCT lat FROM p)) SELECT round(median(gap) * 110.574::DOUBLE, 6) AS km FROM s WHERE gap IS NOT NULL""")
 def cell_spacing(spark, sf_dir):
-    """The median distance from one row of a grid to the next; rows of a grid, not cells, reach the window."""
-    from pyspark.sql import Window
-
+    """The median distance from one row of a grid to the next."""
     lat = table(spark, sf_dir, "customer").select((36 + (F.col("c_custkey") * 37 % 500) / F.lit(100.0)).alias("lat")).distinct()
-    return lat.select((F.col("lat") - F.lag("lat").over(Window.orderBy("lat"))).alias("gap")).agg(r(F.median("gap") * 110.574).alias("km"))
+    gaps = ranks.carried(lat, [], ["lat"], {"before": F.col("lat")}, own=False).select((F.col("lat") - F.col("before")).alias("gap"))
+    return ranks.quantiles(gaps, [], "gap", {"gap": (0.5, "linear")}).select(r(F.col("gap") * 110.574).alias("km"))

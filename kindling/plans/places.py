@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kindling.operators import geo, graph, temporal
+from kindling.operators import geo, graph, ranks, temporal
 from kindling.plans.common import GREAT_CIRCLE, LAT, LON, events, place, r, registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -70,7 +70,8 @@ def radius_then_time_rank(spark, sf_dir):
     """Of the stations within 60 km the one nearest in time, six hours at most, and the percentile of its value."""
     s = _stations(spark, sf_dir)
     counts = s.groupBy("bal").agg(F.count("*").alias("n"))
-    below = counts.select("bal", ((F.coalesce(F.sum("n").over(Window.orderBy("bal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("n") + 1) / 2) / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("pct"))  # a row for each value of a station
+    total = counts.agg(F.sum("n").alias("all"))
+    below = ranks.running(counts, [], [F.col("bal")], {"upto": F.col("n")}).join(F.broadcast(total)).select("bal", ((F.col("upto") - F.col("n") + (F.col("n") + 1) / 2) / F.col("all")).alias("pct"))  # one row
     pairs = geo.within_radius(_reports(spark, sf_dir).select("k", "lat", "lon", "hour"), s, 60.0, time=("hour", "hour", 6)).withColumn("gap", F.abs(F.col("hour") - F.col("r_hour")))
     best = pairs.groupBy("k").agg(F.min_by(F.struct("r_s", "gap", "r_bal"), F.struct("gap", r(F.col("distance_km"), 9), "r_s")).alias("x")).select("k", F.col("x.r_s").alias("s"), F.col("x.gap").alias("gap"), F.col("x.r_bal").alias("bal"))
     return best.join(below, "bal").select("k", "s", "gap", r(F.col("pct")).alias("pct"))

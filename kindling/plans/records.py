@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindling.functions import fuels, times, weather
-from kindling.operators import metrics, splits, tables
+from kindling.operators import metrics, ranks, splits, tables
 from kindling.plans.common import events, r, registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -49,13 +49,9 @@ def finite_or_null(spark, sf_dir):
 
 @query("""SELECT event_id, round(last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (ORDER BY user_id, ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS filled FROM events""")
 def forward_fill_over_all(spark, sf_dir):
-    """The last value before, in the order of stations and times, over the ends of stations too; one row per station reaches the outer window."""
-    e, by = events(spark, sf_dir), Window.partitionBy("user_id").orderBy("at", "event_id")
+    """The last value before, in the order of stations and times, over the ends of stations too."""
     seen = F.when(F.col("event_type") == "view", F.col("value"))
-    own = F.last(seen, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    ends = events(spark, sf_dir).groupBy("user_id").agg(F.max_by("value", F.when(F.col("event_type") == "view", F.struct("at", "event_id"))).alias("end"))
-    before = F.last("end", ignorenulls=True).over(Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1))
-    return e.withColumn("own", own).join(ends.select("user_id", before.alias("before")), "user_id").select("event_id", r(F.coalesce("own", "before")).alias("filled"))
+    return ranks.carried(events(spark, sf_dir).select("user_id", "at", "event_id", "event_type", "value"), [], ["user_id", "at", "event_id"], {"filled": seen}).select("event_id", r(F.col("filled")).alias("filled"))
 
 
 @query("""SELECT count(*) AS n, count(*) FILTER (o_custkey % 7 = 3) AS refused FROM orders WHERE o_orderdate >= DATE '1996-03-01' AND o_orderdate < DATE '1998-01-01'""")
@@ -115,8 +111,8 @@ def wind_aspect_units(spark, sf_dir):
 def quintile_labels(spark, sf_dir):
     """Fifths by value, closed on the right."""
     x = _lines(spark, sf_dir)
-    edges = x.agg(F.percentile("l_quantity", F.array(*(F.lit(p / 5) for p in range(1, 5)))).alias("e"))  # few distinct values
-    label = sum((F.col("l_quantity") > F.col("e")[i]).cast("int") for i in range(4))
+    edges = ranks.quantiles(x, [], "l_quantity", {f"e{p}": (p / 5, "linear") for p in range(1, 5)})
+    label = sum((F.col("l_quantity") > F.col(f"e{p}")).cast("int") for p in range(1, 5))
     return x.join(F.broadcast(edges)).groupBy(label.alias("quintile")).agg(F.count("*").alias("n"))  # one row
 
 
@@ -279,7 +275,8 @@ def normal_with_least_years(spark, sf_dir):
 SELECT round(a, 7) AS t1, round(b, 7) AS t2, round(c, 7) AS t3, round(greatest(d, c + 1e-6), 7) AS t4 FROM v""")
 def strictly_rising_thresholds(spark, sf_dir):
     """Each threshold at least a millionth above the one before."""
-    q = _lines(spark, sf_dir).agg(F.percentile("l_quantity", F.array(*map(F.lit, (0.2, 0.2, 0.6, 0.5)))).alias("t"))  # few distinct values
+    q = ranks.quantiles(_lines(spark, sf_dir), [], "l_quantity", {f"q{i}": (p, "linear") for i, p in enumerate((0.2, 0.2, 0.6, 0.5))})
+    q = q.select(F.array(*(F.col(f"q{i}") for i in range(4))).alias("t"))
     up = q.select(metrics.strictly_rising(F.col("t")).alias("t"))
     return up.select(*(r(F.col("t")[i], 7).alias(f"t{i + 1}") for i in range(4)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindling.functions import scores, times, weather
-from kindling.operators import geo, graph, tables
+from kindling.operators import geo, graph, ranks, tables
 from kindling.plans.common import GREAT_CIRCLE, LAT, LON, place, r, registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -236,9 +236,10 @@ def cluster_single_linkage(spark, sf_dir):
 def describe_with_mode(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
-    stats = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), r(F.avg(q)).alias("mean"), r(F.stddev_samp(q)).alias("std"), F.min(q).alias("min"), *(r(F.percentile(q, F.lit(p))).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)), F.max(q).alias("max"))
+    stats = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), r(F.avg(q)).alias("mean"), r(F.stddev_samp(q)).alias("std"), F.min(q).alias("min"), F.max(q).alias("max"))
+    quarters = ranks.quantiles(rows, ["l_returnflag"], "l_quantity", {f"q{p}": (p / 100, "linear") for p in (25, 50, 75)})
     mode = rows.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("c")).groupBy("l_returnflag").agg(F.max_by("l_quantity", F.struct("c", -q)).alias("mode"))
-    return stats.join(mode, "l_returnflag")
+    return stats.join(mode, "l_returnflag").join(quarters.select("l_returnflag", *(r(F.col(f"q{p}")).alias(f"q{p}") for p in (25, 50, 75))), "l_returnflag")
 
 
 @query("""SELECT column_name, round(avg(void), 6) AS null_share FROM (SELECT 'text' AS column_name, (nullif(text, '') IS NULL)::INT AS void FROM documents UNION ALL SELECT 'lang', (nullif(lang, 'de') IS NULL)::INT FROM documents UNION ALL SELECT 'source', (nullif(source, 'src0') IS NULL)::INT FROM documents) GROUP BY column_name""")

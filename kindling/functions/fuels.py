@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kindling.functions import weather as w
+from kindling.functions.scores import ramp
 from kindling.functions.weather import clip
 
 # Relative spread and intensity of the forty fuel models, by code
@@ -41,15 +42,23 @@ def fuel_group(code: Column) -> Column:
     )
 
 
+#: How far a class reaches, as value at its edge and value from where it counts in full, for each of three variables.
+WIND_EDGE = min(w.ELEVATED_WIND, w.VERY_DRY_WIND)
+EXTREME_WIND_SPAN = 15.0
+DEPTHS = {
+    2: {"rh": (w.ELEVATED_RH, w.CRITICAL_RH), "wind": (WIND_EDGE, w.CRITICAL_WIND), "fm": (w.ELEVATED_FM, 0.0)},
+    3: {"rh": (w.CRITICAL_RH, w.EXTREME_RH), "wind": (w.CRITICAL_WIND, w.EXTREME_WIND), "fm": (w.ELEVATED_FM, w.EXTREME_FM)},
+    4: {"rh": (w.EXTREME_RH, 0.0), "wind": (w.EXTREME_WIND, w.EXTREME_WIND + EXTREME_WIND_SPAN), "fm": (w.EXTREME_FM, 0.0)},
+}
+
+
 def severity(category: Column, fm: Column, rh: Column, wind: Column) -> Column:
-    """How far into its class a value of elevated, critical or extreme danger lies, 0 to 1; 1 for the other classes."""
-    part = lambda x: clip(x, 0.0, 1.0)
-    low = min(w.ELEVATED_WIND, w.VERY_DRY_WIND)
-    drier = part((w.ELEVATED_FM - fm) / w.ELEVATED_FM)
-    two = part((w.ELEVATED_RH - rh) / (w.ELEVATED_RH - w.CRITICAL_RH)) + part((wind - low) / (w.CRITICAL_WIND - low)) + drier
-    three = part((w.CRITICAL_RH - rh) / (w.CRITICAL_RH - w.EXTREME_RH)) + part((wind - w.CRITICAL_WIND) / (w.EXTREME_WIND - w.CRITICAL_WIND)) + part((w.ELEVATED_FM - fm) / (w.ELEVATED_FM - w.EXTREME_FM))
-    four = part((w.EXTREME_RH - rh) / w.EXTREME_RH) + part((wind - w.EXTREME_WIND) / 15.0) + part((w.EXTREME_FM - fm) / w.EXTREME_FM)
-    return F.when(category == 2, two / 3.0).when(category == 3, three / 3.0).when(category == 4, four / 3.0).otherwise(1.0)
+    """How far into its class a value of elevated, critical or extreme danger lies, 0 to 1: the mean depth of its variables; 1 for the other classes."""
+    values, out = {"rh": rh, "wind": wind, "fm": fm}, F.lit(1.0)
+    for level, reach in DEPTHS.items():
+        depths = [ramp(values[name], *edges) for name, edges in reach.items()]
+        out = F.when(category == level, sum(depths[1:], depths[0]) / len(depths)).otherwise(out)
+    return out
 
 
 def demoted(category: Column, share: Column, green: Column, most: float) -> Column:

@@ -37,7 +37,7 @@ def neighbourhood_max(grid: DataFrame, radius: int, keys: list[str]) -> DataFram
 
 
 def _passes(cells: DataFrame, sigma: float, reach: int, keys: list[str], shape: tuple[int, int] | None = None) -> DataFrame:
-    """keys, row, col, and value: the Gaussian mean of the cells with a value, over a square of 2 * reach + 1; mirrored at the edges of a shape.
+    """keys, row, col, and smoothed: the Gaussian mean of the cells with a value, over a square of 2 * reach + 1; mirrored at the edges of a shape. An infinite sigma gives the plain mean.
 
     A Gaussian is a product, so sums and weights go along one axis and then the other: 2 * reach + 1 rows a cell each time instead of their square.
     """
@@ -118,6 +118,19 @@ def terrain(grid: DataFrame, dy: float, dx: float, keys: list[str]) -> DataFrame
     return g.withColumns({"slope": F.degrees(F.atan(F.hypot("_dx", "_dy"))), "aspect": F.atan2(-F.col("_dx"), F.col("_dy"))}).drop("_dy", "_dx")
 
 
+def ruggedness(grid: DataFrame, shape: tuple[int, int], keys: list[str]) -> DataFrame:
+    """grid with ruggedness, the spread of the three by three cells around each, over mirrored edges; null where the cell has no value.
+
+    Neighbours without a value take no part. Values are taken from their grid's mean first, so that high, even ground loses no digits.
+    """
+    means = grid.groupBy(*keys).agg(F.avg("value").alias("_m"))
+    own = grid.join(means, keys).withColumn("value", F.col("value") - F.col("_m")).select(*keys, "row", "col", "value")
+    one = _passes(own, math.inf, 1, keys, shape)
+    two = _passes(own.withColumn("value", F.col("value") * F.col("value")), math.inf, 1, keys, shape).withColumnRenamed("smoothed", "_two")
+    spread = one.join(two, [*keys, "row", "col"]).select(*keys, "row", "col", F.sqrt(F.greatest(F.col("_two") - F.col("smoothed") * F.col("smoothed"), F.lit(0.0))).alias("ruggedness"))
+    return grid.join(spread, [*keys, "row", "col"], "left").withColumn("ruggedness", F.when(F.col("value").isNotNull(), F.col("ruggedness")))
+
+
 def complete_sequences(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """keys and `steps`, the values in order, of groups as long as most are (the longer of equal) and without a null."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(reduce(or_, (F.col(v).isNull() for v in values))).alias("_void"))

@@ -62,6 +62,14 @@ def terrain_derivatives(spark, sf_dir):
     return t.groupBy("vec_id").agg(r(F.avg("slope"), 5).alias("slope"), r(F.avg("aspect"), 5).alias("aspect"))
 
 
+@query(f"""WITH g AS MATERIALIZED (SELECT vec_id, row, col, value FROM {GRID}), o AS (SELECT a.vec_id, a.row, a.col, least(greatest(a.row + y, 0), 7) AS r, least(greatest(a.col + x, 0), 7) AS c FROM g a, range(-1, 2) t(y), range(-1, 2) u(x)),
+s AS (SELECT o.vec_id, o.row, o.col, stddev_pop(value) AS s FROM o JOIN g ON g.vec_id = o.vec_id AND g.row = r AND g.col = c GROUP BY ALL) SELECT vec_id, count(*) AS cells, round(avg(s), 5) AS mean, round(max(s), 5) AS most FROM s GROUP BY vec_id""")
+def terrain_ruggedness(spark, sf_dir):
+    """The spread of the cells around each, over mirrored edges."""
+    t = grids.ruggedness(_grid(spark, sf_dir).drop("label"), (8, 8), ["vec_id"])
+    return t.groupBy("vec_id").agg(F.count("ruggedness").alias("cells"), r(F.avg("ruggedness"), 5).alias("mean"), r(F.max("ruggedness"), 5).alias("most"))
+
+
 @query(f"""WITH g AS MATERIALIZED (SELECT vec_id % 10 AS tile, vec_id // 10 AS day, row, col, value FROM {GRID}) SELECT a.tile, a.day, count(*) AS cells, round(sum(coalesce(s, 0)), 4) AS before3 FROM g a LEFT JOIN (SELECT a.tile, a.day, a.row, a.col, sum(b.value) AS s FROM g a JOIN g b ON b.tile = a.tile AND b.row = a.row AND b.col = a.col AND b.day BETWEEN a.day - 3 AND a.day - 1 GROUP BY ALL) b USING (tile, day, row, col) GROUP BY ALL""")
 def antecedent_grid(spark, sf_dir):
     """Each cell's sum over the three days before."""

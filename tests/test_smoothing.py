@@ -35,3 +35,13 @@ def test_two_passes(spark, mirrored):
     for r in rows:
         assert r.smoothed == (None if want[r.g, r.row, r.col] is None else pytest.approx(want[r.g, r.row, r.col]))
     assert mirrored or any(v is None for v in want.values())
+
+
+def test_ruggedness_with_holes_and_high_ground(spark):
+    cells = {(y, x): None if (y, x) == (1, 1) else 1e6 + y * x % 4 for y in range(4) for x in range(5)}
+    df = spark.createDataFrame([(0, *k, v) for k, v in cells.items()], "g int, row int, col int, value double")
+    near = lambda i, n: [min(max(i + d, 0), n - 1) for d in (-1, 0, 1)]  # noqa: E731  with a reach of one, the mirror is the edge
+    for r in grids.ruggedness(df, (4, 5), ["g"]).collect():
+        v = [cells[y, x] for y in near(r.row, 4) for x in near(r.col, 5) if cells[y, x] is not None]
+        want = math.sqrt(sum((a - sum(v) / len(v)) ** 2 for a in v) / len(v))
+        assert r.ruggedness == (None if r.value is None else pytest.approx(want, abs=1e-6))

@@ -137,6 +137,6 @@ SELECT c_custkey, CAST(coalesce(n, 0) AS BIGINT) AS n, round((coalesce(s, 0) + 0
 def neighbor_other_group_rate(spark, sf_dir):
     """The smoothed rate of a label among neighbours of other groups."""
     own = place(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_nationkey", (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"), "lat", "lon")
-    near = geo.within_radius(own, own, 15).where("c_nationkey <> r_c_nationkey").groupBy("c_custkey").agg(F.count("*").alias("n"), F.sum("r_y").alias("s"))
-    out = tables.dense_left(own.select("c_custkey"), near, ["c_custkey"])
+    near = geo.other_groups(own, "c_nationkey", 15, {"n": F.lit(1), "s": F.col("y")}).drop("near")
+    out = tables.dense_left(own, near, ["lat", "lon", "c_nationkey"])
     return out.select("c_custkey", "n", r((F.col("s") + 0.5) / (F.col("n") + 1)).alias("rate"))

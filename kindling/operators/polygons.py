@@ -51,22 +51,26 @@ def first_of(points: DataFrame, polygons: DataFrame, key: str, name: str = "name
     """points with `out`, the name of the first polygon by `order` (ties: the smaller name) that holds their lat and lon; null without one.
 
     Points are told apart by `key`; rows of one key at several places get what the first of their polygons is. Null and NaN
-    coordinates and null keys lie nowhere. Rings with fewer than three corners hold nothing; those over the date line are to be split first. A cell with very many points is dealt over tasks.
+    coordinates and null keys lie nowhere. Rings with fewer than three corners hold nothing; those over the date line are to be split first. A cell with very many places is dealt over tasks. Points of one place look once, and of equal rings the first is filed.
     """
-    filed = cut(cover(polygons, name, ring, order))
+    first = polygons.select(F.col(order).alias("order"), F.col(name).alias("name"), F.col(ring).alias("ring"), F.col(ring).cast("string").alias("_k")).repartition("_k")
+    first = cut(first.groupBy("_k").agg(F.min(F.struct("order", "name", "ring")).alias("_f")).select("_f.*"))  # equal rings have equal text
+    filed = cut(cover(first, "name", "ring", "order"))
     levels = [r.level for r in filed.select("level").distinct().collect()]  # 25 at most
     if not levels:
         return points.withColumn(out, F.lit(None).cast(polygons.schema[name].dataType))
     lat, lon = F.col("lat").cast("double"), F.col("lon").cast("double")
-    at = F.array(*(F.struct(F.lit(v).alias("level"), F.floor(lat / (360.0 / 2**v)).alias("cy"), F.floor(lon / (360.0 / 2**v)).alias("cx")) for v in levels))
+    at_cells = F.array(*(F.struct(F.lit(v).alias("level"), F.floor(F.col("_lat") / (360.0 / 2**v)).alias("cy"), F.floor(F.col("_lon") / (360.0 / 2**v)).alias("cx")) for v in levels))
     cell = ["level", "cy", "cx"]
-    looks = points.where(F.col(key).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)).select(F.col(key).alias("_key"), lat.alias("_lat"), lon.alias("_lon"), F.explode(at).alias("c")).select("_key", "_lat", "_lon", "c.*")
+    asking = points.where(F.col(key).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)).select(F.col(key).alias("_key"), lat.alias("_lat"), lon.alias("_lon"))
+    looks = cut(asking.select("_lat", "_lon").distinct()).select("_lat", "_lon", F.explode(at_cells).alias("c")).select("_lat", "_lon", "c.*")
     rows = looks.groupBy(*cell).agg(F.count("*").alias("n"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     deals = cut(rows.where(F.col("n") > max(PER_TASK, total // BROADCAST_ROWS)).select(*cell, F.ceil(F.col("n") / PER_TASK).cast("int").alias("deals")))  # fewer than BROADCAST_ROWS by arithmetic
     dealt = lambda df: df.join(F.broadcast(deals), cell, "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
-    looks = dealt(looks).withColumn("deal", F.pmod(F.xxhash64("_key"), F.col("deals"))).drop("deals")
+    looks = dealt(looks).withColumn("deal", F.pmod(F.xxhash64("_lat", "_lon"), F.col("deals"))).drop("deals")
     filed = dealt(filed).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals").cast("long") - 1))).drop("deals")
     held = looks.join(filed, [*cell, "deal"]).where(F.col("edges").isNull() | within(F.col("_lat"), F.col("_lon"), F.col("edges")))
-    found = held.groupBy("_key").agg(F.min_by("name", F.struct("order", "name")).alias("_found"))
-    return points.join(found, F.col(key) == F.col("_key"), "left").select(*(points[c] for c in points.columns), F.col("_found").alias(out))
+    found = held.groupBy("_lat", "_lon").agg(F.min(F.struct("order", "name")).alias("_found"))
+    found = asking.join(found, ["_lat", "_lon"]).groupBy("_key").agg(F.min("_found").alias("_found"))
+    return points.join(found, F.col(key) == F.col("_key"), "left").select(*(points[c] for c in points.columns), F.col("_found.name").alias(out))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.operators.shared import cut
+from kindling.operators.shared import counted_join, cut
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -47,15 +47,16 @@ def tile(rank: Column, rows: Column, tiles: int) -> Column:
     return F.when(rank <= edge, F.floor((rank - 1) / (size + 1)) + 1).otherwise(more + F.floor((rank - 1 - edge) / F.greatest(size, F.lit(1))) + 1).cast("int")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
-    """A row per key with exact quantiles: wanted is name -> (share, "linear" or "higher"). Nulls don't count.
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]], times: str | None = None) -> DataFrame:
+    """A row per key with exact quantiles: wanted is name -> (share, "linear" or "higher"). Nulls don't count; a row counts `times` times.
 
-    Equal values are counted first, so the ranks run over distinct values.
+    Equal values are counted first, so the ranks run over distinct values. The values of a key aren't gathered in a task.
     """
-    levels = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    levels = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(times) if times else F.count("*")).alias("_n"))
     upto = cut(running(levels, keys, [F.col(value)], {"_upto": F.col("_n")}))
-    sizes = upto.groupBy(*keys).agg(F.max("_upto").alias("_rows"))
-    met = upto.join(sizes, keys) if keys else upto.join(F.broadcast(sizes))  # one row
+    sizes = cut(upto.groupBy(*keys).agg(F.max("_upto").alias("_rows"), F.count("*").alias("_levels")))
+    total = sizes.agg(F.sum("_levels")).first()[0] or 0
+    met = counted_join(upto, sizes, keys, total, "_levels") if keys else upto.join(F.broadcast(sizes))  # one row
     at = lambda p: F.min(F.when(F.col("_upto") > p, F.col(value)))  # noqa: E731  the value at place p, from 0
     aggs = []
     for name, (share, kind) in wanted.items():

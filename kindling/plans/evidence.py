@@ -267,7 +267,7 @@ def interval_scale_search(spark, sf_dir):
     wide = lambda k: F.col("w") * (0.5 + 0.05 * k)
     k = F.greatest(F.lit(0), F.ceil((off / F.col("w") - 0.5) / 0.05)).cast("int")
     k = F.when((k > 0) & (off <= wide(k - 1)), k - 1).when(off > wide(k), k + 1).otherwise(k)  # the least step that covers a row, exactly
-    steps = x.join(b, "grp").groupBy("grp", "bias", k.alias("k")).agg(F.count("*").alias("n"))
+    steps = x.join(F.broadcast(b), "grp").groupBy("grp", "bias", k.alias("k")).agg(F.count("*").alias("n"))
     grid = steps.where("k <= 110")
     upto = F.sum("n").over(Window.partitionBy("grp").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))  # 111 steps a group
     cover = grid.withColumn("upto", upto).join(steps.groupBy("grp").agg(F.sum("n").alias("rows")), "grp")

@@ -132,8 +132,9 @@ def regression_metrics_by_group(spark, sf_dir):
     own = metrics.regression("pred", "actual") + [F.avg((e > 5).cast("double")).alias("over5")]
     kinds = ["l_returnflag", "l_linestatus"]
     rows = _pair(spark, sf_dir).groupingSets([[kinds[0]], [kinds[1]], []], *kinds).agg(*own).where("n >= 100").withColumn("key", F.coalesce(*(F.concat(F.lit(f"{k}="), k) for k in kinds), F.lit("all")))
-    keyed = _pair(spark, sf_dir).select(e.alias("e"), F.explode(F.array(*(F.concat(F.lit(f"{k}="), k) for k in kinds), F.lit("all"))).alias("key"))
-    p90 = ranks.quantiles(keyed, ["key"], "e", {"p90": (0.9, "linear")})
+    counts = _pair(spark, sf_dir).groupBy(*kinds, e.alias("e")).agg(F.count("*").alias("times"))
+    keyed = counts.select("e", "times", F.explode(F.array(*(F.concat(F.lit(f"{k}="), k) for k in kinds), F.lit("all"))).alias("key"))
+    p90 = ranks.quantiles(keyed, ["key"], "e", {"p90": (0.9, "linear")}, "times")
     return rows.join(p90, "key").select(*kinds, "n", *(r(F.col(c)).alias(c) for c in ("mae", "rmse", "bias", "r", "r2", "p90", "over5")))
 
 

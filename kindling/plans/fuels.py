@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindling.functions import fuels, weather
 from kindling.functions.scores import RELIEF_MM, guarded_score, level
 from kindling.operators import folds, ranks, scan, temporal
+from kindling.operators.shared import dealt
 from kindling.plans.common import events, r, registry, table
 from kindling.plans.relations import RULE
 
@@ -133,8 +134,9 @@ s AS (SELECT run, b, max(v) FILTER (a = b - 1) AS one, arg_max(v / greatest(1, b
 SELECT s.run, s.b AS lead, round(coalesce(one, d.v, spread), 6) AS mm FROM s LEFT JOIN d ON d.run = s.run AND d.b = s.b""")
 def hourly_rain_of_mixed_windows(spark, sf_dir):
     """Rain of each hour from what sums a run has: the hour's own, else the difference of two that start together, else the shortest spread evenly."""
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("b"), F.greatest(F.lit(0), F.col("l_linenumber") - 1 - F.col("l_partkey") % 3).cast("int").alias("a"), F.col("l_quantity").alias("v"))
-    w = t.unionByName(t.where("b > 3").withColumns({"a": F.lit(0), "v": F.col("v") * 3})).groupBy("run", "a", "b").agg(F.max("v").alias("v"))
+    lines = table(spark, sf_dir, "lineitem")
+    t = lines.select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("b"), F.greatest(F.lit(0), F.col("l_linenumber") - 1 - F.col("l_partkey") % 3).cast("int").alias("a"), F.col("l_quantity").alias("v"))
+    w = dealt(t.unionByName(t.where("b > 3").withColumns({"a": F.lit(0), "v": F.col("v") * 3})), 2 * lines.count(), ["run"]).groupBy("run", "a", "b").agg(F.max("v").alias("v"))
     before = F.when(F.lag("b").over(by := Window.partitionBy("run", "a").orderBy("b")) == F.col("b") - 1, F.lag("v").over(by))
     w = w.withColumn("d", F.greatest(F.lit(0.0), F.col("v") - before)).withColumn("d", F.when(before.isNotNull(), F.col("d")))
     own, spread = F.max(F.when(F.col("a") == F.col("b") - 1, F.col("v"))), F.max_by(F.col("v") / F.greatest(F.lit(1), F.col("b") - F.col("a")), "a")

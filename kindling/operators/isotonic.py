@@ -79,12 +79,21 @@ def knots(fit: DataFrame, keys: list[str], most: int = 60, steps: int = 200) ->
     return kept.select(*keys, F.row_number().over(by).alias("place"), F.round("x", 4).alias("x"), F.round(F.max("y").over(by), 5).alias("y"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def interpolated(x: Column, curve: Column) -> Column:
     """The value at x of a curve, an array of structs (x, y) in rising order; flat outside of it, null for a null x or an empty curve."""
-    i, n = F.size(F.filter(curve, lambda k: k["x"] <= x)), F.size(curve)
-    a, b = F.get(curve, i - 1), F.get(curve, i)
-    line = (b["y"] - a["y"]) / (b["x"] - a["x"]) * (x - a["x"]) + a["y"]
-    return F.when(x.isNull(), F.lit(None)).when(i == 0, F.get(curve, F.lit(0))["y"]).when(i == n, F.get(curve, n - 1)["y"]).otherwise(line)
+    n = F.size(curve)
+
+    def at(x: Column, i: Column) -> Column:
+        a, b = F.get(curve, i - 1), F.get(curve, i)
+        line = (b["y"] - a["y"]) / (b["x"] - a["x"]) * (x - a["x"]) + a["y"]
+        return F.when(x.isNull(), F.lit(None)).when(i == 0, F.get(curve, F.lit(0))["y"]).when(i == n, F.get(curve, n - 1)["y"]).otherwise(line)
+
+    return _let(x, lambda v: _let(F.size(F.filter(curve, lambda k: k["x"] <= v)), lambda i: at(v, i)))
 
 
 def best_thresholds(df: DataFrame, keys: list[str], score: str, label: str, default: float = 0.5, least: int = 20, bias: tuple[float, float] = (0.8, 1.25)) -> DataFrame:
@@ -93,7 +102,7 @@ def best_thresholds(df: DataFrame, keys: list[str], score: str, label: str, defa
     A later threshold must beat the index of an earlier one as rounded. Keys with fewer than `least` events, or none within the bounds, keep `default`.
     """
     taus = [round(0.05 * i, 2) for i in range(1, 20)]
-    above = F.size(F.filter(F.array(*map(F.lit, taus)), lambda t: t <= F.col(score)))
+    above = _let(F.col(score), lambda s: F.size(F.filter(F.array(*map(F.lit, taus)), lambda t: t <= s)))
     bins = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, above.alias("bin")).agg(F.sum(F.col(label).cast("long")).alias("hits"), F.count("*").alias("n"))
     per = [F.struct(F.lit(t).alias("tau"), F.sum(F.when(F.col("bin") > i, F.col("hits")).otherwise(0)).alias("hits"), F.sum(F.when(F.col("bin") > i, F.col("n")).otherwise(0)).alias("alarms")) for i, t in enumerate(taus)]
     x = bins.groupBy(*keys).agg(F.array(*per).alias("t"), F.sum("hits").alias("events"), F.sum("n").alias("rows"))

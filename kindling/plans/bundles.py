@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindling.functions import fuels, weather
 from kindling.operators import metrics, ranks, tables
+from kindling.operators.shared import dealt
 from kindling.plans.common import events, place, r, registry, table
 from kindling.plans.relations import RULE
 
@@ -244,10 +245,13 @@ def fuel_threshold_grid(spark, sf_dir):
 @query()
 def monte_carlo_categories(spark, sf_dir):
     """Chances of each class under correlated draws of moisture and humidity and lognormal wind, from a hundred seeded draws a row."""
-    x = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") / 3).alias("fm"), (F.col("l_discount") * 600).alias("rh"), (F.col("l_tax") * 400).alias("w"))
+    lines, keys = _lines(spark, sf_dir), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    x = dealt(lines.select(*keys, (F.col("l_quantity") / 3).alias("fm"), (F.col("l_discount") * 600).alias("rh"), (F.col("l_tax") * 400).alias("w")), lines.count(), keys)  # draws are made where their row is counted
     unit = lambda i: (F.pmod(F.xxhash64(F.lit(i), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "draw"), F.lit(1_000_003)) + 0.5) / 1_000_003
     normal = lambda i: F.sqrt(-2 * F.log(unit(i))) * F.cos(2 * 3.141592653589793 * unit(i + 100))
     d = x.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(100)))).withColumns({"z1": normal(1), "z2": normal(2), "z3": normal(3)})
     c = weather.danger_category(F.greatest(F.lit(1.0), F.col("fm") + 1.5 * F.col("z1")), weather.clip(F.col("rh") + 5 * (0.6 * F.col("z1") + 0.8 * F.col("z2")), 0.0, 100.0), F.col("w") * F.exp(0.2 * F.col("z3")))
-    p = d.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c.alias("c")).agg((F.count("*") / 100).alias("p"))
-    return p.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max_by("c", F.struct("p", -F.col("c"))).alias("modal"), F.max("p").alias("stability"), F.sum(F.when(F.col("c") >= 2, F.col("p")).otherwise(0.0)).alias("p_elevated"))
+    n = d.withColumn("c", c).groupBy(*keys).agg(*(F.count_if(F.col("c").eqNullSafe(F.lit(k).cast("int"))).alias(f"n{k}") for k in (None, *range(5))))
+    classes = F.array(*(F.struct((F.col(f"n{k}") / 100).alias("p"), F.lit(None if k is None else -k).cast("int").alias("m"), F.lit(k).cast("int").alias("c")) for k in (None, *range(5))))
+    top = n.withColumn("top", F.array_max(F.filter(classes, lambda k: k["p"] > 0)))
+    return top.select(*keys, F.col("top.c").alias("modal"), F.col("top.p").alias("stability"), ((F.col("n2") + F.col("n3") + F.col("n4")) / 100).alias("p_elevated"))

@@ -68,13 +68,14 @@ SERIES = "SELECT CAST(user_id AS VARCHAR) AS stid, date_trunc('second', ts) AS t
 
 @query(f"""SELECT stid AS "STID", epoch_us(t) AS us, round(fm, 6) AS fm, round(fm - lag(fm) OVER w, 6) AS change, round(avg(fm) OVER (PARTITION BY stid ORDER BY t ROWS 2 PRECEDING), 6) AS mean3 FROM ({SERIES}) WINDOW w AS (PARTITION BY stid ORDER BY t)""")
 def station_series_with_lags(spark, sf_dir):
-    """Station files with parallel arrays, as rows with lags; of repeated times the last stays."""
+    """Station files with parallel arrays, as rows with lags; of repeated times the last stays. A file holds the stations of some 20,000 rows."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("STID"), "ts", "event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), F.col("value").cast("string").alias("v"))
     s = e.groupBy("STID").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "t", "v"))).alias("x"))
     path = shared_dir(spark)
     series = F.create_map(F.lit("date_time"), F.col("x.t"), F.lit("fuel_moisture"), F.col("x.v"))
-    one = F.struct(F.array(F.struct("STID", F.lit("MO").alias("STATE"), F.lit("38").alias("LATITUDE"), F.lit("-92").alias("LONGITUDE"), series.alias("OBSERVATIONS"))).alias("STATION"))
-    s.select(F.to_json(one).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    one = F.struct("STID", F.lit("MO").alias("STATE"), F.lit("38").alias("LATITUDE"), F.lit("-92").alias("LONGITUDE"), series.alias("OBSERVATIONS"))
+    held = s.groupBy(F.pmod(F.xxhash64("STID"), F.lit(max(1, e.count() // 20_000)))).agg(F.collect_list(one).alias("STATION"))
+    held.select(F.to_json(F.struct("STATION")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     rows, by = stations.station_json(spark, f"{path}/*.txt", "MO"), Window.partitionBy("STID").orderBy("time")
     return rows.select("STID", micros(F.col("time")).alias("us"), r(F.col("fm")).alias("fm"), r(F.col("fm") - F.lag("fm").over(by)).alias("change"), r(F.avg("fm").over(by.rowsBetween(-2, 0))).alias("mean3"))
 

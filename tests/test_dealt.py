@@ -29,3 +29,11 @@ def test_interpolation_looks_once(spark):
     out = df.select(isotonic.interpolated(F.col("x"), F.col("c")).alias("y"))
     assert [r.y for r in out.collect()] == [0.2, 0.5, None, 2.0]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 1
+
+
+def test_station_files_hold_many_stations(spark, monkeypatch, tmp_path):
+    from kindling.plans import files
+
+    monkeypatch.setattr(files, "shared_dir", lambda s: str(tmp_path / "out"))
+    entry.queries()["station_series_with_lags"](spark, "/root/testdata/sf0.001")
+    assert len(list((tmp_path / "out").glob("*.txt"))) == 1

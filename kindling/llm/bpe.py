@@ -40,8 +40,8 @@ MEMO_ROWS, MEMO_BYTES = 800_000, 48
 JOINED = 500
 #: Rows that are decoded at once.
 DECODED_ROWS = 200
-#: Texts are taken together up to so many characters.
-GROUP_CHARS = 1 << 18
+#: Texts are taken together up to so many characters, and out of their batch so many rows at a time.
+GROUP_CHARS, LISTED_ROWS = 1 << 18, 200
 
 
 def byte_letters() -> dict[str, int]:
@@ -116,7 +116,8 @@ class Codec:
                 ids[i] = new[p]
         self.memo.update((p, x) for p, x in new.items() if len(p) <= MEMO_BYTES)
         if len(self.memo) > MEMO_ROWS:
-            self.memo = dict(islice(self.memo.items(), MEMO_ROWS // 2))
+            for p in list(islice(self.memo, MEMO_ROWS // 2, None)):  # in place: a second memo would stand beside the first
+                del self.memo[p]
         return [np.frombuffer(b"".join(ids), self.kind) for ids, _, _ in found]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -136,10 +137,10 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def groups(texts: list[bytes | None]):
-    """Slices (first, texts) of a batch, of about GROUP_CHARS each."""
+def groups(texts: pa.Array):
+    """Slices (first, texts) of a batch's column, of about GROUP_CHARS each; the batch is never listed whole."""
     held, size, first = [], 0, 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(t for k in range(0, len(texts), LISTED_ROWS) for t in texts.slice(k, LISTED_ROWS).to_pylist()):
         held.append((t or b"").decode("utf-8", "replace"))
         size += len(held[-1])
         if size >= GROUP_CHARS:
@@ -154,14 +155,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype("<i4"), pa.int32()))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
 def encode(docs: DataFrame, vocabulary: str, offsets: bool = False) -> DataFrame:
     """doc_id and its ids; with `offsets` also byte_starts and char_starts of each id."""
 
     def run(batches):
         own = codec(vocabulary)
         for b in batches:
-            texts, ids_of = b.column("text").to_pylist(), b.column("doc_id")
-            for first, held in groups(texts):
+            ids_of = b.column("doc_id")
+            for first, held in groups(b.column("text")):
                 found = own.encode(held)
                 out = [ids_of.slice(first, len(held)), _lists(found)]
                 if offsets:
@@ -170,8 +175,7 @@ def encode(docs: DataFrame, vocabulary: str, offsets: bool = False) -> DataFrame
                 yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["doc_id", "ids", *(["byte_starts", "char_starts"] if offsets else [])]
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long" + "".join(f", {n} array<int>" for n in names[1:]))
+    return _texts(docs).mapInArrow(run, "doc_id long" + "".join(f", {n} array<int>" for n in names[1:]))
 
 
 def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
@@ -190,9 +194,24 @@ def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", decoded binary")
 
 
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """What decode(encode()) gives, doc_id, ids and decoded, by one Python worker a task with one vocabulary in place of two with one each."""
+
+    def run(batches):
+        own = codec(vocabulary)
+        for b in batches:
+            ids_of = b.column("doc_id")
+            for first, held in groups(b.column("text")):
+                found = own.encode(held)
+                decoded = [own.decode(x.tolist()) for x in found]
+                yield pa.RecordBatch.from_arrays([ids_of.slice(first, len(held)), _lists(found), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of texts encoded and decoded again."""
-    return decode(encode(docs, vocabulary), vocabulary).select(
+    return round_trip(docs, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -136,7 +136,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -
             to = Writer(out, bits)
             while one is not None:
                 names = one.column("doc_id").to_pylist()
-                for first, held in groups(one.column("text").to_pylist()):
+                for first, held in groups(one.column("text")):
                     for name, ids in zip(names[first:], own.encode(held)):
                         to.add(name, ids, last)
                 one = next(batches, None)

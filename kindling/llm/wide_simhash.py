@@ -9,6 +9,10 @@ of 16 bits in 99 of 100 cases, at 0.9 nearly always. `bits` grows with the logar
 number of texts so that chance partners per block stay level, and the number of blocks grows
 with `bits` so that recall does: further blocks are dealt from permutations of the same 1024.
 
+A pair that passes may still lie below 0.8, and in a group of texts that share a template most do. So a bitmap of
+the shingles' hashes goes with each fingerprint, from which follows how many shingles two texts can share at most. Pairs that can't reach 0.8
+end there; none at 0.8 does.
+
 What passes is a candidate. It is linked if the two sets of shingles, as 64-bit hashes, have a
 Jaccard similarity of 0.8 or more; texts of equal sets are one node.
 
@@ -42,6 +46,8 @@ from kindling.operators.shared import COOL_ROWS
 
 #: The JVM compiles no method of more than 8,000 bytes of code; the test of 28 longs comes near that.
 WIDTH, WORDS = 1664, 26
+#: Longs of the bitmap of shingles. It tells most of sets of up to some 250 shingles, little of those of more than 1,000.
+BITMAP = 16
 #: The first bits, which blocks are dealt from.
 BLOCKED = 1024
 #: Bits that may differ in a candidate: 15.2 % at 0.8, and three standard deviations.
@@ -87,6 +93,13 @@ def bits_of(hashes: np.ndarray) -> np.ndarray:
     return (2 * ones > len(hashes)).astype(np.uint8)
 
 
+def shape_of(hashes: np.ndarray) -> np.ndarray:
+    """The bitmap of a set of shingles as longs, how many shingles there are, and how many of them no bit shows."""
+    ones = np.zeros(64 * BITMAP, np.uint8)
+    ones[hashes % np.uint64(len(ones))] = 1
+    return np.concatenate([np.packbits(ones, bitorder="little").view("<i8"), [len(hashes), len(hashes) - ones.sum(dtype=np.int64)]])
+
+
 def block_bits(rows: int) -> int:
     return max(LEAST_BITS, math.ceil(math.log2(max(2, rows))) - 4)
 
@@ -101,7 +114,7 @@ def tables(bits: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, bits: int, shingle: int = 5) -> DataFrame:
-    """The columns of `docs` but text, node (a hash of the set of shingles), wide (26 longs) and keys, the blocks."""
+    """The columns of `docs` but text, node (a hash of the set of shingles), wide (26 longs, then those of shape_of) and keys, the blocks."""
     places, n = tables(bits), len(tables(bits))
     powers = np.int64(1) << np.arange(bits, dtype=np.int64)
 
@@ -111,12 +124,12 @@ def fingerprints(docs: DataFrame, bits: int, shingle: int = 5) -> DataFrame:
             for i in range(0, len(texts), SLICE):
                 own = [shingle_set(t or b"", shingle) for t in texts[i : i + SLICE]]
                 all_bits = np.stack([bits_of(h) for h in own])
-                packed = np.packbits(all_bits, axis=1, bitorder="little")
+                packed = np.hstack([np.packbits(all_bits, axis=1, bitorder="little").view("<i8"), np.stack([shape_of(h) for h in own])])
                 nodes = [xxhash.xxh64_intdigest(h.tobytes()) for h in own]
                 keys = all_bits[:, places].astype(np.int64) @ powers + (np.arange(n, dtype=np.int64) << bits)
                 ends = np.arange(len(own) + 1)
                 lists = lambda x, k: pa.ListArray.from_arrays(pa.array(ends * k, pa.int32()), pa.array(x.ravel(), pa.int64()))
-                columns = [*(b.column(c).slice(i, len(own)) for c in keep), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists(packed.view("<i8"), WORDS), lists(keys, n)]
+                columns = [*(b.column(c).slice(i, len(own)) for c in keep), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists(packed, packed.shape[1]), lists(keys, n)]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "node", "wide", "keys"])
 
     rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("binary")})
@@ -128,6 +141,18 @@ def _differ(a: str, b: str, words: int) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)), F.lit(0))
 
 
+def _can_reach(a: str, b: str) -> Column:
+    """Whether two sets can have a Jaccard similarity of 0.8. What they share is in bits that both have, but for shingles that no bit of their own shows."""
+    size, hidden = ([F.get(x, F.lit(WORDS + BITMAP + i)) for x in (a, b)] for i in range(2))
+    common = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.get(b, F.lit(i)))) for i in range(WORDS, WORDS + BITMAP)), F.lit(0))
+    return 9 * F.least(common + F.least(*hidden), *size) >= 4 * (size[0] + size[1])
+
+
+def _candidates(pairs: DataFrame) -> DataFrame:
+    """The distinct (u, v) of pairs (u, v, w1, w2) that can reach 0.8; as an aggregate, so that this test stays out of the joins' own, which would grow too long to be compiled."""
+    return pairs.groupBy("u", "v").agg(F.bool_or(_can_reach("w1", "w2")).alias("can")).where("can").select("u", "v")
+
+
 def _met(pairs: DataFrame, side: DataFrame, at: str, total: int) -> DataFrame:
     """`pairs`, a written table of `total` rows, with what `side` (node and more) has for the node in column `at`.
 
@@ -138,11 +163,11 @@ def _met(pairs: DataFrame, side: DataFrame, at: str, total: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, wide: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose fingerprints differ in DISTANCE bits or fewer."""
+    """The pairs (u, v) whose fingerprints differ in DISTANCE bits or fewer and whose sets can reach 0.8."""
     pairs = cut(pairs.distinct())
     total = pairs.count()
     first = cut(_met(pairs, wide.toDF("node", "w1"), "u", total))
-    return _met(first, wide.toDF("node", "w2"), "v", total).where(_differ("w1", "w2", WORDS) <= DISTANCE).select("u", "v")
+    return _candidates(_met(first, wide.toDF("node", "w2"), "v", total).where(_differ("w1", "w2", WORDS) <= DISTANCE))
 
 
 def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -176,18 +201,18 @@ def _hubs(members: DataFrame) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], near: Column) -> DataFrame:
-    """The pairs u < v of different roots that meet on the keys and are `near`."""
+    """The pairs u < v, with whatever else both sides have, of different roots that meet on the keys and are `near`; a pair once for each key."""
     both = left.join(right, on).where((F.col("r1") != F.col("r2")) & near)
-    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return both.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
 
 
 def _tiled(members: DataFrame, near: Column) -> DataFrame:
-    """_pairs of blocks (key, n, node, root, w), each dealt into tiles of about TILE members; every two tiles meet once."""
+    """The candidates of blocks (key, n, node, root, w), each dealt into tiles of about TILE members; every two tiles meet once."""
     own = members.withColumn("last", F.floor((F.col("n") - 1) / TILE))
     own = own.withColumn("tile", F.when(F.col("last") > 0, F.pmod(F.xxhash64("node"), F.col("last") + 1)).otherwise(F.lit(0)).cast("long"))
     left = own.select("key", "tile", F.explode(F.sequence("tile", "last")).alias("other"), F.col("node").alias("u"), F.col("root").alias("r1"), F.col("wide").alias("w1"))
     right = own.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "tile")).alias("tile"), F.col("tile").alias("other"), F.col("node").alias("v"), F.col("root").alias("r2"), F.col("wide").alias("w2"))
-    return _pairs(left, right, ["key", "tile", "other"], ((F.col("u") < F.col("v")) | (F.col("tile") < F.col("other"))) & near)
+    return _candidates(_pairs(left, right, ["key", "tile", "other"], ((F.col("u") < F.col("v")) | (F.col("tile") < F.col("other"))) & near))
 
 
 def linked(nodes: DataFrame, texts: DataFrame, shingle: int, bits: int) -> DataFrame:
@@ -206,18 +231,19 @@ def linked(nodes: DataFrame, texts: DataFrame, shingle: int, bits: int) -> DataF
     asked = cut(asked.where((F.size("near") > 0) | F.col("score").isNotNull()))
     first = asked.select(F.col("node").alias("u"), F.explode(F.slice("near", 1, ASKED)["v"]).alias("v"))
     edges = cut(alike(_near(first.unionByName(_hubs(asked)), wide), rows, texts, shingle))
-    roots = nodes.join(graph.linked(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stars = graph.linked(edges)
+    roots = nodes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     blocks = roots.select(F.explode("keys").alias("key"), "node", "root", *sketch)
     crowded = blocks.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("n")).where(F.col("n") > CROWDED)
     crowded = cut(crowded)
     # keys of very many members are few and broadcast; the shuffle that leaves out the other crowded ones is the one that the pairs need
     limit = max(total // BROADCAST_ROWS, COOL_ROWS)
     few = blocks.join(F.broadcast(crowded.where(F.col("n") > limit)), "key", "left_anti").join(crowded.where(F.col("n") <= limit), "key", "left_anti")
-    few = _pairs(few.toDF("key", "u", "r1", *own), few.toDF("key", "v", "r2", *other), ["key"], (F.col("u") < F.col("v")) & (apart <= SKETCH_DISTANCE))
+    few = _pairs(few.toDF("key", "u", "r1", *own), few.toDF("key", "v", "r2", *other), ["key"], (F.col("u") < F.col("v")) & (apart <= SKETCH_DISTANCE)).select("u", "v").distinct()
     mixed = crowded.where("mixed").select("key", "n")
     many = counted_join(roots.select(F.explode("keys").alias("key"), "node", "root", "wide"), mixed, ["key"], total)
     many = _tiled(many, (_differ("w1", "w2", SKETCH) <= SKETCH_DISTANCE) & (_differ("w1", "w2", WORDS) <= DISTANCE))
-    return graph.linked(edges.unionByName(alike(_near(few, wide).unionByName(many), rows, texts, shingle)))
+    return graph.linked(stars.toDF("u", "v").unionByName(alike(_near(few, wide).unionByName(many), rows, texts, shingle)))
 
 
 def rooted(texts: DataFrame, shingle: int) -> DataFrame:

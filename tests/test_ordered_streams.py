@@ -2,7 +2,9 @@
 
 import os
 from datetime import timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,20 @@ def test_two_streams_by_an_interval(spark, tmp_path, before, after):
         found = [(abs(r.us - s.us), s.us, s.click_id) for s in right if s.user_id == r.user_id and r.us - width[before] <= s.us <= r.us + width[after]]
         want.append((r.event_id, min(found)[2] if found else -9))
     assert got == sorted(want) and 0 < sum(c == -9 for _, c in want) < len(want)
+
+
+def test_rows_of_a_call_are_held_as_one():
+    """The store is asked through a socket, row by row: a thousand rows of a key are one entry, and come back as they were."""
+    entries, woken = [], []
+    fold = ordered._Fold(["at_us", "event_id", "q"], (0.0,), lambda state, q: (state[0] + (q or 0.0),), None, ["key", "at_us", "event_id", "q", "k"], 2)
+    held = SimpleNamespace(exists=lambda: bool(entries), get=lambda: iter(entries), clear=entries.clear, put=lambda x: entries.__setitem__(slice(None), x), appendValue=entries.append, appendList=entries.extend)
+    value = SimpleNamespace(exists=lambda: False, get=lambda: None, clear=lambda: None, update=lambda x: None)
+    fold.init(SimpleNamespace(getListState=lambda *a: held, getValueState=lambda *a: value, registerTimer=woken.append, deleteTimer=lambda ms: None))
+    n = 1000
+    rows = pd.DataFrame({"at_us": [1000 * (n - i) for i in range(n)], "event_id": pd.array([None, *range(1, n)], "object"), "q": [float("nan"), *([1.0] * (n - 1))]})
+    list(fold.handleInputRows((1,), iter([rows]), None))
+    assert len(entries) == 1 and woken == [1]
+    (out,) = fold.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 600), None)
+    assert len(out) == 600 and out.k.tolist() == [float(i) for i in range(1, 601)] and len(entries) == 1
+    (out,) = fold.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: n), None)
+    assert out.at_us.tolist() == [1000 * i for i in range(601, n + 1)] and out.event_id.isna().tolist() == [False] * 399 + [True] and not entries

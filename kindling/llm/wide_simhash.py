@@ -20,9 +20,14 @@ Groups of copies make no pairs of all their members. First each text is compared
 smallest of each of its blocks, and in crowded blocks with the member that stands in most company; verified links merge into groups. That is linear. Blocks
 whose members are all of one group are done. In the others only members of different groups
 meet, so no link that could join two groups is left out, and there is no cap. Blocks of more
-than CROWDED members carry whole fingerprints into the join, which makes both tests there. A large block is
-dealt into tiles, every two of which meet in a task of their own, so no block is one task's work; the comparisons of
-texts that share a block and aren't alike, though not their rows, still grow with the square of the block.
+than CROWDED members carry whole fingerprints into the join, which makes both tests there.
+
+Blocks of more than DENSE members aren't compared pair by pair. Their members meet by shingles instead: two sets at 0.8 have
+so many in common that, each set sorted by how often its shingles occur, the first one they share stands early in both. So each lists
+the rarest fifth of its own and meets others there, by place and size; texts that share a template and little else don't list
+the template at all. That leaves out no pair at 0.8, whatever its blocks, so pairs of such members are left out of the smaller
+blocks. A shingle that very many list is dealt by size and into tiles, so none is one task's work. Of sets near 0.8 that share their rarest shingles
+too, the comparisons, though not the rows, still grow with the square.
 
 Edge cases: a null or empty text has no words; texts without words are one node, linked like any other. Texts of equal shingle sets are
 one node, so ties between copies are settled by row: of a group the smallest doc_id stays, null last, and of equal ids the
@@ -62,8 +67,15 @@ ASKED = 3
 #: Members of a block above which whole fingerprints go into its join. Chance brings 16 at most on average; what is found
 #: doesn't depend on it, only where the last test of a pair is made.
 CROWDED = 24
-#: Members of a block that one task compares with as many others.
-TILE = 256
+#: Members of a block above which they meet by shingles, not by blocks; four times what chance brings. What is found doesn't depend on it but
+#: for pairs at 0.8 that share no block, which are found as well.
+DENSE = 64
+#: Texts listed under a shingle above which they are dealt by size and into tiles, and steps of size in which a text grows e-fold.
+TILE, STEPS = 256, 40
+#: Counts of shingles, by hash, that say which are rare; they only set the order, and this many at most pass through the driver.
+SLOTS = 1 << 18
+#: The root that stands for those of all members of dense blocks where others meet them; a hash like the nodes.
+TOGETHER = -0x61C8864680B583EB
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(WORDS)], np.uint64)
 
 
@@ -170,18 +182,23 @@ def _near(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     return _candidates(_met(first, wide.toDF("node", "w2"), "v", total).where(_differ("w1", "w2", WORDS) <= DISTANCE))
 
 
-def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose shingles have a Jaccard similarity of 0.8 or more. `rows` has row and node, each once."""
+def _sets(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The columns of `nodes`, which has row, but row, and the set of the hashes of the text's shingles."""
+    keep = [c for c in nodes.columns if c != "row"]
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t or b"", shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], [*keep, "set"])
+
+    return cut(texts.select("row", F.col("text").cast("binary").alias("text")).join(nodes, "row").select(*keep, "text").mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", set array<long>"))
 
+
+def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingles have a Jaccard similarity of 0.8 or more. `rows` has row and node, each once."""
     pairs = cut(pairs.distinct())
     asked = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(rows, "node"))
-    sets = cut(texts.select("row", F.col("text").cast("binary").alias("text")).join(asked, "row").select("node", "text").mapInArrow(run, "node long, set array<long>"))
-    sets, total = cut(sets), pairs.count()
+    sets, total = _sets(asked, texts, shingle), pairs.count()
     both = _met(cut(_met(pairs, sets.toDF("node", "s1"), "u", total)), sets.toDF("node", "s2"), "v", total)
     shared, most = F.size(F.array_intersect("s1", "s2")), F.size("s1") + F.size("s2")
     return both.where(9 * shared >= 4 * most).select("u", "v")  # shared / (most - shared) >= 4 / 5
@@ -206,13 +223,57 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str], near: Column) -> Da
     return both.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
 
 
-def _tiled(members: DataFrame, near: Column) -> DataFrame:
-    """The candidates of blocks (key, n, node, root, w), each dealt into tiles of about TILE members; every two tiles meet once."""
-    own = members.withColumn("last", F.floor((F.col("n") - 1) / TILE))
-    own = own.withColumn("tile", F.when(F.col("last") > 0, F.pmod(F.xxhash64("node"), F.col("last") + 1)).otherwise(F.lit(0)).cast("long"))
-    left = own.select("key", "tile", F.explode(F.sequence("tile", "last")).alias("other"), F.col("node").alias("u"), F.col("root").alias("r1"), F.col("wide").alias("w1"))
-    right = own.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "tile")).alias("tile"), F.col("tile").alias("other"), F.col("node").alias("v"), F.col("root").alias("r2"), F.col("wide").alias("w2"))
-    return _candidates(_pairs(left, right, ["key", "tile", "other"], ((F.col("u") < F.col("v")) | (F.col("tile") < F.col("other"))) & near))
+def _rarest(sets: DataFrame) -> DataFrame:
+    """token, node, root, size and cap for the rarest fifth of each set's shingles (node, root, set), rarest first but for those of one set only.
+
+    Of two sets at 0.8 neither is larger than the other's cap at the first token that both have: fewer are left there than they must share.
+    """
+    listed = sets.select(F.explode("set").alias("h")).groupBy(F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).count().toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[listed["slot"].to_numpy()] = listed["count"].to_numpy()
+
+    def run(batches):
+        for b in batches:
+            values, ends = b.column("set").values.to_numpy(), b.column("set").offsets.to_numpy()
+            tokens, caps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, k in zip(ends[:-1], ends[1:]):
+                own, n = values[i:k], k - i
+                often = counts[own & (SLOTS - 1)]
+                first = np.lexsort((own, often))[: n - -(-4 * n // 5) + 1]
+                met = np.flatnonzero(often[first] > 1)
+                tokens.append(own[first[met]])
+                caps.append(9 * (n - met) // 4 - n)
+            each = [len(x) for x in tokens[1:]]
+            whole = [b.column(c).to_numpy() for c in ("node", "root")] + [np.diff(ends).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), *(np.repeat(x, each) for x in whole), np.concatenate(caps))], ["token", "node", "root", "size", "cap"])
+
+    return cut(sets.mapInArrow(run, "token long, node long, root long, size long, cap long"))
+
+
+def _sharing(entries: DataFrame) -> DataFrame:
+    """The pairs (u, v) of different roots that have a token of _rarest() in common, neither larger than the other's cap.
+
+    The smaller stands on the left. A token of more than TILE entries is parted by the size of the smaller: the larger is listed for each
+    step of sizes that its cap leaves.
+    """
+    tokens = entries.groupBy("token").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").drop("mixed")
+    met = cut(counted_join(entries, tokens, ["token"], entries.count()))
+    step = lambda size: F.when(F.col("n") > TILE, F.floor(F.log(size) * STEPS)).otherwise(F.lit(-1)).cast("int")
+    smaller = met.where("size <= cap").withColumns({"step": step(F.col("size")), "left": F.lit(True)})
+    larger = met.withColumns({"step": F.explode(F.sequence(step(F.expr("(4 * size + 4) div 5")), step(F.least("size", "cap")))), "left": F.lit(False)})
+    members = smaller.unionByName(larger).drop("n")
+    keys = members.groupBy("token", "step").agg(F.count("*").alias("n"), F.count_if("left").alias("lefts"), F.min(F.when(F.col("left"), F.col("size"))).alias("least"), (F.min("root") != F.max("root")).alias("mixed"))
+    keys = cut(keys.where("mixed and lefts > 0").drop("mixed"))
+    met = counted_join(members, keys, ["token", "step"], keys.agg(F.sum("n")).first()[0] or 0).where("left or cap >= least")
+    tiles = lambda n: F.ceil(F.sqrt(n / TILE))
+    of = {"tile": F.col("lefts"), "other": F.col("n") - F.col("lefts")}
+    own = {c: F.pmod(F.xxhash64("node"), tiles(n)) for c, n in of.items()}
+    every = {c: F.explode(F.sequence(F.lit(0).cast("long"), tiles(n) - 1)) for c, n in of.items()}
+    at = ["token", "step", "tile", "other"]
+    left = met.where("left").withColumn("tile", own["tile"]).withColumn("other", every["other"]).select(*at, F.col("node").alias("u"), F.col("root").alias("r1"), F.col("size").alias("n1"), F.col("cap").alias("c1"))
+    right = met.where("not left").withColumn("other", own["other"]).withColumn("tile", every["tile"]).select(*at, F.col("node").alias("v"), F.col("root").alias("r2"), F.col("size").alias("n2"), F.col("cap").alias("c2"))
+    once = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("u") < F.col("v")))
+    return _pairs(left, right, at, (F.col("n1") <= F.col("c2")) & (F.col("n2") <= F.col("c1")) & once).select("u", "v").distinct()
 
 
 def linked(nodes: DataFrame, texts: DataFrame, shingle: int, bits: int) -> DataFrame:
@@ -236,14 +297,22 @@ def linked(nodes: DataFrame, texts: DataFrame, shingle: int, bits: int) -> DataF
     blocks = roots.select(F.explode("keys").alias("key"), "node", "root", *sketch)
     crowded = blocks.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("n")).where(F.col("n") > CROWDED)
     crowded = cut(crowded)
+    inside = counted_join(blocks.select("key", "node", "root"), crowded.where(F.col("mixed") & (F.col("n") > DENSE)).select("key", "n"), ["key"], total)
+    inside = cut(inside.select("node", "root").distinct())
+    close = _near(_sharing(_rarest(_sets(inside.join(rows, "node"), texts, shingle))), wide)
+    # from here on members of dense blocks, who have met, are of one root
+    apart_from = cut(stars.join(inside.select("node", F.lit(TOGETHER).alias("met")), "node", "full").select("node", F.coalesce("met", "root").alias("root")))
+    roots = nodes.join(apart_from, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = roots.select(F.explode("keys").alias("key"), "node", "root", *sketch)
     # keys of very many members are few and broadcast; the shuffle that leaves out the other crowded ones is the one that the pairs need
     limit = max(total // BROADCAST_ROWS, COOL_ROWS)
     few = blocks.join(F.broadcast(crowded.where(F.col("n") > limit)), "key", "left_anti").join(crowded.where(F.col("n") <= limit), "key", "left_anti")
     few = _pairs(few.toDF("key", "u", "r1", *own), few.toDF("key", "v", "r2", *other), ["key"], (F.col("u") < F.col("v")) & (apart <= SKETCH_DISTANCE)).select("u", "v").distinct()
-    mixed = crowded.where("mixed").select("key", "n")
-    many = counted_join(roots.select(F.explode("keys").alias("key"), "node", "root", "wide"), mixed, ["key"], total)
-    many = _tiled(many, (_differ("w1", "w2", SKETCH) <= SKETCH_DISTANCE) & (_differ("w1", "w2", WORDS) <= DISTANCE))
-    return graph.linked(stars.toDF("u", "v").unionByName(alike(_near(few, wide).unionByName(many), rows, texts, shingle)))
+    mixed = crowded.where(F.col("mixed") & (F.col("n") <= DENSE)).select("key", "n")
+    many = counted_join(roots.select(F.explode("keys").alias("key"), "node", "root", "wide"), mixed, ["key"], total).drop("n")
+    test = (F.col("u") < F.col("v")) & (_differ("w1", "w2", SKETCH) <= SKETCH_DISTANCE) & (_differ("w1", "w2", WORDS) <= DISTANCE)
+    many = _candidates(_pairs(many.toDF("key", "u", "r1", "w1"), many.toDF("key", "v", "r2", "w2"), ["key"], test))
+    return graph.linked(stars.toDF("u", "v").unionByName(alike(_near(few, wide).unionByName(many).unionByName(close), rows, texts, shingle)))
 
 
 def rooted(texts: DataFrame, shingle: int) -> DataFrame:

@@ -73,7 +73,7 @@ DENSE = 64
 #: Texts listed under a shingle above which they are dealt by size and into tiles, and steps of size in which a text grows e-fold.
 TILE, STEPS = 256, 40
 #: Counts of shingles, by hash, that say which are rare; they only set the order, and this many at most pass through the driver.
-SLOTS = 1 << 18
+SLOTS = 1 << 14
 #: The root that stands for those of all members of dense blocks where others meet them; a hash like the nodes.
 TOGETHER = -0x61C8864680B583EB
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(WORDS)], np.uint64)
@@ -228,9 +228,10 @@ def _rarest(sets: DataFrame) -> DataFrame:
 
     Of two sets at 0.8 neither is larger than the other's cap at the first token that both have: fewer are left there than they must share.
     """
-    listed = sets.select(F.explode("set").alias("h")).groupBy(F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).count().toArrow()
+    listed = sets.select(F.explode("set").alias("h")).groupBy(F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).agg(F.count("*").alias("n")).collect()
     counts = np.zeros(SLOTS, np.int64)
-    counts[listed["slot"].to_numpy()] = listed["count"].to_numpy()
+    for slot, n in listed:
+        counts[slot] = n
 
     def run(batches):
         for b in batches:
